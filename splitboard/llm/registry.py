@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from splitboard.llm import line_dedup
+from splitboard.llm import line_dedup, packing
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
