@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from splitboard.llm import line_dedup, packing
+from splitboard.llm import license_scan, line_dedup, packing
 
 QUERIES = {
+    "op10_license_scan": license_scan.op10_license_scan,
     "op6_packing": packing.op6_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES = {
+    "op10_license_scan": license_scan.op10_sql(),
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
