@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from splitboard.llm import license_scan, line_dedup, packing
+from splitboard.llm import license_scan, line_dedup, packing, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
     "op6_packing": packing.op6_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
