@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from splitboard.llm import license_scan, line_dedup, packing, url_filter
+from splitboard.llm import chat_format, license_scan, line_dedup, packing, url_filter
 
 QUERIES = {
+    "op7_chat_format": chat_format.op7_chat_format,
     "op1_url_filter": url_filter.op1_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
     "op6_packing": packing.op6_packing,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_chat_format": chat_format.op7_sql(),
     "op10_license_scan": license_scan.op10_sql(),
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
