@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from splitboard.llm import chat_format, license_scan, line_dedup, packing, url_filter
+from splitboard.llm import chat_format, decontaminate, license_scan, line_dedup, packing, url_filter
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op7_chat_format": chat_format.op7_chat_format,
     "op1_url_filter": url_filter.op1_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op7_chat_format": chat_format.op7_sql(),
     "op10_license_scan": license_scan.op10_sql(),
     "op9_line_dedup": line_dedup.OP9_SQL,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The ASCII white space that the contracts name.
@@ -28,3 +28,8 @@ def fresh(df, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def sized(staged: DataFrame, most: int, otherwise: str = "shuffle_hash") -> DataFrame:
+    """A staged table with a hint: broadcast while its counted rows are within most, otherwise the other strategy."""
+    return staged.hint("broadcast" if staged.count() <= most else otherwise)
