@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from splitboard.llm import chat_format, decontaminate, license_scan, line_dedup, packing, simhash_dedup, url_filter
+from splitboard.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, packing, simhash_dedup, url_filter
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op7_chat_format": chat_format.op7_chat_format,
