@@ -9,11 +9,40 @@ no large group, and each round's tables are written to the shared folder.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitboard.sources import stage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Forest:
+    """Components among the nodes 0..n-1 of one task; root[i] leads to the smallest node of i's component."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        while not np.array_equal(up := self.root[x], x):
+            x = up
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links between a[i] and b[i]."""
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+
+    def roots(self) -> np.ndarray:
+        return self.find(np.arange(len(self.root)))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b), two columns of one orderable type; root is the smallest node reachable.

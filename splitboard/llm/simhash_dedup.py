@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitboard.llm.components import components
+from splitboard.llm.components import Forest, components
 from splitboard.sources import load, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -120,28 +120,13 @@ class GrayIndex:
             yield q + at, self.order[node]
 
 
-def smallest_reachable(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For the nodes 0..n-1 the smallest node that links lead to."""
-    root = np.arange(n)
-
-    def find(x: np.ndarray) -> np.ndarray:
-        while not np.array_equal(up := root[x], x):
-            x = up
-        return x
-
-    for a, b in pairs:
-        while len(a):
-            a, b = find(a), find(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-    return find(np.arange(n))
-
-
 def linked(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join each code with the smallest of its bucket's component."""
     codes = np.sort(codes)
-    root = smallest_reachable(len(codes), GrayIndex(codes).within(codes, distance))
+    forest = Forest(len(codes))
+    for a, b in GrayIndex(codes).within(codes, distance):
+        forest.join(a, b)
+    root = forest.roots()
     own = np.flatnonzero(root != np.arange(len(codes)))
     return codes[own].view("<i8"), codes[root[own]].view("<i8")
 
