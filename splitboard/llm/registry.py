@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from splitboard.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, packing, simhash_dedup, url_filter
+from splitboard.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, packing, secret_scan, simhash_dedup, url_filter
 
 QUERIES = {
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
