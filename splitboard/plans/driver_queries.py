@@ -1,11 +1,6 @@
-"""Queries over the given tables, each with the SQL that must give the same rows."""
+"""All queries over the given tables."""
 
-from __future__ import annotations
+from splitboard.plans import result_queries
+from splitboard.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "result_queries"]
