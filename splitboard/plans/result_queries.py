@@ -141,15 +141,15 @@ def meet_page_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, p_name, l_returnflag, l_quantity, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-WHERE p_brand = 'Brand#23' AND p_name ILIKE '%part%' AND l_returnflag = 'R' ORDER BY o_orderdate DESC, l_orderkey, l_linenumber LIMIT 200 OFFSET 200
+WHERE p_brand = 'Brand#17' AND p_name ILIKE '%R%' AND l_returnflag = 'R' ORDER BY o_orderdate DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 50
 """)
 def results_filtered_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second page of filtered results, the latest first."""
-    parts = f.like(f.equal(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_brand", "Brand#23"), "p_name", "part")
+    parts = f.like(f.equal(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_brand", "Brand#17"), "p_name", "R")
     rows = f.equal(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"), "l_returnflag", "R")
     rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     by = ordered({"date": "o_orderdate"}, "date", True, "date")
-    return rows_of_page(rows, [by, F.col("l_orderkey"), F.col("l_linenumber")], 2, 200).select("l_orderkey", "l_linenumber", "p_name", "l_returnflag", "l_quantity", "o_orderdate")
+    return rows_of_page(rows, [by, F.col("l_orderkey"), F.col("l_linenumber")], 2, 50).select("l_orderkey", "l_linenumber", "p_name", "l_returnflag", "l_quantity", "o_orderdate")
 
 
 @query("""
