@@ -42,6 +42,7 @@ SHINGLE_WORDS = 3
 DISTANCE = 2
 BUCKET = 4096
 FANOUT = 8
+PAIRS = 1 << 18
 SEED = 42
 
 
@@ -116,8 +117,12 @@ class GrayIndex:
             mask, pattern = same, all_ones & same
             self.levels.append((mask, pattern))
 
-    def within(self, queries: np.ndarray, distance: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (number of the query, number of the code) at no more than the distance."""
+    def within(self, queries: np.ndarray, distance: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (number of the query, number of the code) at no more than the distance.
+
+        As many searches go down together as cannot hold more than PAIRS codes at once, however dense the codes lie.
+        """
+        block = block or max(1, PAIRS // len(self.codes))
         for at in range(0, len(queries), block):
             part = queries[at : at + block]
             mask, pattern = self.levels[-1]
