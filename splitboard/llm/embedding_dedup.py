@@ -6,9 +6,9 @@
    classes; each shard's hierarchical graph is built in one task and written as one row to the shared folder.
 3. Every block of classes is sent to every shard. All searches of a batch go through the graph in step: greedy
    through the upper layers, then a beam on the lowest.
-4. A search whose beam is full of links is repeated with a beam twice as wide; beyond WIDEST it is
-   answered by the whole shard, so no group of near copies is cut short. For each task an audit compares
-   AUDIT searches with the whole shard; while their recall is below RECALL the beams of all searches widen.
+4. Again and again an audit compares AUDIT searches of a task with the whole shard; while their recall is below
+   RECALL the task's beams widen, up to WIDEST. A search whose beam is full of links has more of them than
+   the beam can tell: it is answered by the whole shard, so no group of near copies is cut short.
 5. Candidates are verified by their cosine in double precision. A task returns for each search how many
    vectors it found, and a link to each of the shard's own components that it touches, never all pairs.
 6. The components of these links follow by contraction, and the counts of the shards are added up.
@@ -226,14 +226,13 @@ class Shard:
         if self.batches % 64 == 0 and len(self.small) > TOP:
             self.audit(q)
         self.batches += 1
-        todo, ef, found = np.arange(len(q)), self.ef, []
-        while len(todo) and TOP < len(self.small) and ef < min(WIDEST * 2, len(self.small)):
-            ids, sims = self.graph.search(q[todo], ef)
+        todo, found = np.arange(len(q)), []
+        if self.ef < len(self.small) and TOP < len(self.small):
+            ids, sims = self.graph.search(q, self.ef)
             full = sims[:, -1] >= least
-            hit = (sims >= least) & ~full[:, None]
-            at, column = np.nonzero(hit)
-            found.append((todo[at], ids[at, column]))
-            todo, ef = todo[full], ef * 2
+            at, column = np.nonzero((sims >= least) & ~full[:, None])
+            found.append((at, ids[at, column]))
+            todo = todo[full]
         for part in np.array_split(todo, max(1, len(todo) // 64)):
             at, row = np.nonzero(self.whole(q[part]) >= least)
             found.append((part[at], row))
