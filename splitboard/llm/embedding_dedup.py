@@ -50,6 +50,7 @@ BUILD_BEAM = 48
 BEAM = 48
 WIDEST = 256
 AUDIT = 32
+AUDIT_MARGIN = 0.1  # pairs that are a little less alike count too, so that an audit has some to look for
 RECALL = 0.97
 EXPAND = 4  # nodes of a beam opened in one step
 BATCH = 256
@@ -207,16 +208,14 @@ class Shard:
         return q @ self.small.T
 
     def audit(self, q: np.ndarray) -> None:
-        """Widen the beams until AUDIT searches find enough of what the whole shard holds: the links, and the 8 nearest."""
+        """Widen the beams until AUDIT searches find enough of what the whole shard holds near the threshold."""
         some = q[:: max(1, len(q) // AUDIT)]
-        truth = self.whole(some)
-        nearest = np.argpartition(-truth, min(8, truth.shape[1]) - 1, axis=1)[:, :8]
+        least = self.cosine - AUDIT_MARGIN
+        truth = (self.whole(some) >= least).sum(axis=1)
         while self.ef < min(WIDEST, len(self.small)):
-            ids, sims = self.graph.search(some, self.ef)
-            full = sims[:, -1] >= self.cosine
-            near = (nearest[:, :, None] == ids[:, None, :]).any(axis=2).mean()
-            links = (truth[~full] >= self.cosine).sum()
-            if near >= RECALL and ((sims[~full] >= self.cosine).sum() >= RECALL * links):
+            _, sims = self.graph.search(some, self.ef)
+            room = sims[:, -1] < least  # other beams are full; their searches go to the whole shard
+            if (sims[room] >= least).sum() >= RECALL * truth[room].sum():
                 return
             self.ef *= 2
 
