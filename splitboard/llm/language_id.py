@@ -11,7 +11,7 @@ numbers) are the only things there. Prediction is one pass over the table, witho
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no
 row is labelled; rows without a doc_id do not train and are not held out; repeated rows each get a row; an
-empty table gives an empty result; further columns are not read.
+empty table gives an empty result; further columns stay, but those named lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitboard.llm.text import fresh, smallest
 from splitboard.sources import load
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,19 +119,19 @@ def learn(docs: DataFrame, trains: Column) -> tuple[list[str], dict[str, np.ndar
     """The languages and the model, from the labelled rows of docs (doc_id, text, lang) that train."""
     key = F.xxhash64("doc_id")
     labelled = docs.where(trains & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = labelled.select(key.alias("key")).orderBy("key").limit(SAMPLE_DOCS).agg(F.max("key")).first()[0]
-    if known is None:
-        return [], None
     step = F.length("text") / SAMPLE_WINDOWS
     cuts = F.array(*[F.substring("text", (F.lit(1) + F.floor(step * k)).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)])
-    rows = labelled.where(key <= known).select(key.alias("key"), "lang", cuts.alias("cuts")).orderBy("key", "lang", "cuts").limit(SAMPLE_DOCS).collect()
+    rows = smallest(labelled.select("doc_id", "lang", cuts.alias("cuts")), key, SAMPLE_DOCS, "lang", "cuts").collect()
+    if not rows:
+        return [], None
     langs = sorted({r.lang for r in rows})
     found = [(windows_of(c)[0], langs.index(r.lang)) for r in rows for c in r.cuts if c]
     return langs, train(np.array([w for w, _ in found]), np.array([y for _, y in found]), len(langs))
 
 
 def identify(docs: DataFrame, trains: Column | None = None) -> DataFrame:
-    """docs with lang_pred and score; trains says which labelled rows the model may learn from, all by default."""
+    """docs with lang_pred and score, in place of columns of these names; trains says which labelled rows the model may learn from, all by default."""
+    docs = docs.drop("lang_pred", "score")
     langs, model = learn(docs, F.lit(True) if trains is None else trains)
     lettered = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     if model is None:
@@ -155,11 +156,12 @@ def identify(docs: DataFrame, trains: Column | None = None) -> DataFrame:
             p = np.concatenate([of(texts[i : i + 64]) for i in range(0, len(texts), 64)]) if texts else np.zeros((0, len(langs)))
             yield pd.DataFrame({"lang": [langs[i] for i in p.argmax(axis=1)], "score": np.minimum(p.max(axis=1, initial=0), 1.0).astype(float)})
 
-    made = docs.withColumn("__p", predict(F.when(lettered, F.col("text"))))
-    return made.select(
+    made = fresh(docs, "predicted")
+    found = docs.withColumn(made, predict(F.when(lettered, F.col("text"))))
+    return found.select(
         *docs.columns,
-        F.when(lettered, F.col("__p.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(lettered, F.round("__p.score", 6)).otherwise(F.lit(0.0)).alias("score"),
+        F.when(lettered, F.col(f"{made}.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(lettered, F.round(f"{made}.score", 6)).otherwise(F.lit(0.0)).alias("score"),
     )
 
 

@@ -33,3 +33,12 @@ def fresh(df, wanted: str) -> str:
 def sized(staged: DataFrame, most: int, otherwise: str = "shuffle_hash") -> DataFrame:
     """A staged table with a hint: broadcast while its counted rows are within most, otherwise the other strategy."""
     return staged.hint("broadcast" if staged.count() <= most else otherwise)
+
+
+def smallest(df: DataFrame, key: Column, n: int, *ties: str) -> DataFrame:
+    """The n rows with the smallest keys, equal keys in the order of ties.
+
+    The n-th key is found first, from keys alone, so that tasks do not each send n whole rows to one place.
+    """
+    last = df.select(key.alias("key")).where("key IS NOT NULL").orderBy("key").limit(n).agg(F.max("key")).first()[0]
+    return df.where(F.lit(False) if last is None else key <= last).orderBy(key, *ties).limit(n)
