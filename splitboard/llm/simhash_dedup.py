@@ -43,6 +43,7 @@ DISTANCE = 2
 BUCKET = 4096
 FANOUT = 8
 PAIRS = 1 << 18
+LEADERS = 64
 SEED = 42
 
 
@@ -146,18 +147,27 @@ def linked(rows: np.ndarray, distance: int, sketch_distance: int = 0) -> tuple[n
     """Links that join each row's code (column 0) with one of its component in this bucket.
 
     Column 1 is the fingerprint to search by; further columns are the words of a longer sketch
-    that must lie within sketch_distance as well.
+    that must lie within sketch_distance as well. In a large bucket some rows are compared with all others first;
+    what that makes the largest component is connected already, so only the rows outside it are searched for, against all.
     """
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
     codes, sketches = np.ascontiguousarray(rows[:, 1]).view("<u8"), np.ascontiguousarray(rows[:, 2:]).view("<u8")
-    forest = Forest(len(rows))
-    for a, b in GrayIndex(codes).within(codes, distance):
-        if sketches.shape[1]:
-            near = a < b
-            a, b = a[near], b[near]
-            near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64) <= sketch_distance
-            a, b = a[near], b[near]
-        forest.join(a, b)
+    forest, queries = Forest(len(rows)), np.arange(len(rows))
+
+    def alike(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64) <= sketch_distance if sketches.shape[1] else np.ones(len(b), dtype=bool)
+
+    if len(rows) > 4 * LEADERS:
+        for leader in np.linspace(0, len(rows) - 1, LEADERS).astype(int):
+            near = np.flatnonzero(np.bitwise_count(codes[leader] ^ codes) <= distance)
+            near = near[alike(leader, near)]
+            forest.join(near, np.full(len(near), leader))
+        root = forest.roots()
+        queries = np.flatnonzero(root != np.bincount(root).argmax())
+    for a, b in GrayIndex(codes).within(codes[queries], distance):
+        a = queries[a]
+        near = (a != b) & alike(a, b)
+        forest.join(a[near], b[near])
     root = forest.roots()
     own = np.flatnonzero(root != np.arange(len(rows)))
     return rows[own, 0], rows[root[own], 0]

@@ -1,12 +1,13 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from splitboard.llm import simhash_dedup as s
-from splitboard.llm.components import components
+from splitboard.llm.components import Forest, components
 
 
 def plain_fingerprint(text, width):
@@ -93,3 +94,23 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(roots[i] == 0 for i in range(41)) and all(roots[100 + i] == 100 for i in range(60))
+
+
+@pytest.mark.parametrize(("distance", "sketch_distance"), [(2, 0), (2, 120), (4, 126)])
+def test_large_buckets_keep_their_components(distance, sketch_distance):
+    """Comparing some rows first and searching only for the rest gives the components of all pairs."""
+    rng, n = np.random.default_rng(2), 1500
+    centres, found = rng.integers(0, 2**63, 5).astype("<u8"), set()
+    while len(found) < n:
+        code = int(centres[rng.integers(5)])
+        for b in rng.choice(64, rng.integers(0, 7)):
+            code ^= 1 << int(b)
+        found.add(code)
+    codes, sketches = np.array(sorted(found), dtype="<u8"), rng.integers(0, 2**63, (n, 4)).astype("<i8")
+    want, got = Forest(n), Forest(n)
+    for i in range(n):
+        near = (np.bitwise_count(codes[i] ^ codes) <= distance) & (np.bitwise_count(sketches[i] ^ sketches).sum(axis=1) <= sketch_distance)
+        want.join(np.full(near.sum(), i), np.flatnonzero(near))
+    a, b = s.linked(np.column_stack([np.arange(n) * 7, codes.view("<i8"), sketches]), distance, sketch_distance)
+    got.join(a // 7, b // 7)
+    assert (want.roots() == got.roots()).all()
