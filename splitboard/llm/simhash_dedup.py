@@ -79,15 +79,6 @@ def fingerprint(text: str, width: int) -> int:
     return majority(shingle_hashes(words, width)) if words else 0
 
 
-def mixed(hashes: np.ndarray, step: int) -> np.ndarray:
-    """The hashes of another member of the family, by the finaliser of SplitMix64."""
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) for each row of docs (doc_id, text)."""
 
@@ -254,60 +245,164 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEAR_WORDS = 5
-#: Near copies are searched by a fingerprint of their distinct words, at this distance.
-SEARCH_DISTANCE = 8
-#: 256-bit sketches of five-word shingles at a similarity of 0.8 differ in 39 bits on average, with a deviation of 6.
-SKETCH, SKETCH_DISTANCE = 4, 42
+#: Near copies share this much of their distinct shingles, as a fraction (intersection over union).
+NEAR, OF = 4, 5
+#: Candidates share one of SKETCH keys, each of the least shingles under KEY_MINIMA hash functions: a pair
+#: at a similarity of 0.8 shares none with a chance of (1 - 0.8^4)^20 = 0.00003, whatever the edit.
+SKETCH, KEY_MINIMA = 20, 4
+#: Pairs of a small bucket are all verified one by one; larger buckets are cut into chunks.
+SMALL, CHUNK = 16, 2048
+
+
+def shingle_set(text: str, width: int = NEAR_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; none without words."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(words, width)) if words else np.zeros(0, "<u8")
+
+
+def minima_keys(grams: np.ndarray, family: np.ndarray) -> list[int]:
+    """SKETCH keys of a set of shingle hashes, as signed numbers."""
+    import xxhash
+
+    least = ((grams[None, :] ^ family[0][:, None]) * family[1][:, None]).min(axis=1).reshape(SKETCH, KEY_MINIMA)
+    return np.array([xxhash.xxh64_intdigest(k.tobytes(), i) for i, k in enumerate(least)], dtype="<u8").view("<i8").tolist()
 
 
 def sketches(docs: DataFrame, width: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, text_id, fp, s0..s3) for each row of docs (doc_id, text): the fingerprint of its distinct words, and the sketch of its distinct shingles."""
+    """(doc_id, text_id, fp, n, s0, s1, ...) for each row of docs (doc_id, text): a hash of its set of shingles, their number, and the set's keys."""
     columns = [f"s{i}" for i in range(SKETCH)]
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        family = np.random.default_rng(SEED).integers(0, 2**64, (2, SKETCH * KEY_MINIMA), dtype=np.uint64)
+        family[1] |= np.uint64(1)
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                words = words_of(text or "")
-                grams = np.unique(shingle_hashes(words, width)) if words else np.zeros(0, "<u8")
-                own = np.unique(shingle_hashes(sorted(set(words)), 1)) if words else grams
-                rows.append([majority(own), *[majority(mixed(grams, i)) for i in range(SKETCH)]])
-            out = pd.DataFrame(np.array(rows, dtype="<i8").reshape(-1, 1 + SKETCH), columns=["fp", *columns])
+                grams = shingle_set(text or "", width)
+                own = xxhash.xxh64_intdigest(grams.tobytes(), SEED)
+                rows.append([own - (own >> 63 << 64), len(grams), *(minima_keys(grams, family) if len(grams) else [0] * SKETCH)])
+            out = pd.DataFrame(np.array(rows, dtype="<i8").reshape(-1, 2 + SKETCH), columns=["fp", "n", *columns])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             out.insert(1, "text_id", batch["text_id"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text")).mapInPandas(made, "doc_id long, text_id long, fp long, " + ", ".join(f"{c} long" for c in columns))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text")).mapInPandas(made, "doc_id long, text_id long, fp long, n long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def near_links(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) among codes (code, fp, s0..s3), distinct.
+def key_buckets(codes: DataFrame) -> DataFrame:
+    """(key, code, n, size, least) for every key that codes (code, n, s0, s1, ...), distinct, share with others; least is the least (code, n) that has it."""
+    dealt = codes.where("n > 0").select("code", "n", F.explode(F.array(*[f"s{i}" for i in range(SKETCH)])).alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("code", "n")).alias("least")).where("size > 1")
+    return stage(dealt.join(stage(sizes, "bucket-sizes").hint("merge"), "key").select("key", "code", "n", "size", "least"), "buckets")
 
-    The fingerprint is eight blocks of eight bits. Codes at six or fewer differing bits agree in two whole blocks,
-    and nine in ten of those at eight do, so they meet in one of 28 tables of buckets. A bucket of more than
-    ``bucket`` codes is cut into chunks, and each two chunks meet in a task of their own: memory
-    stays bounded and every pair is still compared.
-    """
-    values = ["code", "fp", *[f"s{i}" for i in range(SKETCH)]]
-    tables = [F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(agreeing(F.col("fp"), 8, list(range(0, 64, 8))))]
-    slim = codes.select("code", F.explode(F.array(*[F.struct(F.col("fp").alias("fp"), x.alias("b")) for x in tables])).alias("x"))
-    sizes = slim.groupBy("x.b.t", "x.b.key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = stage(sizes.select("t", "key", F.ceil(F.col("n") / bucket).cast("int").alias("chunks")), "bucket-sizes")
-    dealt = codes.select(*values, F.explode(F.array(*tables)).alias("b")).select("b.t", "b.key", *values).join(sizes.hint("shuffle_hash"), ["t", "key"])
-    chunk = F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")
-    units = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
-    units = dealt.withColumn("unit", F.explode(units)).select("t", "key", "unit.i", "unit.j", *values)
-    return bucket_links(units, ["t", "key", "i", "j"], values, SEARCH_DISTANCE, SKETCH_DISTANCE)
+
+def pairs_of(buckets: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) of codes to verify: all of a bucket of at most small codes, each with the least one in a larger bucket."""
+    few, many = buckets.where(F.col("size") <= small), buckets.where(F.col("size") > small)
+    other = few.select("key", F.col("code").alias("b"), F.col("n").alias("m"))
+    every = few.withColumnRenamed("code", "a").join(other.hint("merge"), "key").where("a < b").select("a", "b", "n", "m")
+    star = many.where(F.col("code") != F.col("least.code")).select(F.col("least.code").alias("a"), F.col("code").alias("b"), F.col("least.n").alias("n"), F.col("n").alias("m"))
+    close = F.least("n", "m") * OF >= F.greatest("n", "m") * NEAR  # other sizes cannot be so similar
+    return every.union(star).where(close).select("a", "b").distinct()
+
+
+def near_links(codes: DataFrame, bucket: int = SMALL) -> DataFrame:
+    """Candidate links (a, b) among codes (code, n, s0, s1, ...), distinct, to be verified."""
+    return pairs_of(key_buckets(codes), bucket)
+
+
+def near_sets(docs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, grams): the shingle sets of codes (code, text_id)."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"code": batch["code"], "grams": [shingle_set(t).view("<i8") for t in batch["text"]]})
+
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
+    one = texts.join(codes.hint("shuffle_hash"), "text_id").groupBy("code").agg(F.first("text").alias("text"))
+    return one.mapInPandas(made, "code long, grams array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    a, b = sets.select(F.col("code").alias("a"), F.col("grams").alias("x")), sets.select(F.col("code").alias("b"), F.col("grams").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    similar = both * (NEAR + OF) >= (F.size("x") + F.size("y")) * NEAR
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(similar).select("a", "b")
+
+
+def similar_links(code: np.ndarray, root: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between similar sets, as far as the sets are not connected by their roots; what is outside the largest component is compared with all."""
+    _, first, component = np.unique(root, return_index=True, return_inverse=True)
+    forest, n = Forest(len(code)), np.array([len(g) for g in grams])
+    forest.join(np.arange(len(code)), first[component])
+    flat, owner = np.concatenate(grams), np.repeat(np.arange(len(code)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    a, b = [], []
+    for q in np.flatnonzero(component != np.bincount(component).argmax()):
+        lo, hi = np.searchsorted(flat, grams[q], "left"), np.searchsorted(flat, grams[q], "right")
+        many = hi - lo
+        held = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
+        both = np.bincount(held, minlength=len(code))
+        near = np.flatnonzero(both * (NEAR + OF) >= (n[q] + n) * NEAR)
+        near = near[component[near] != component[q]]
+        apart = near[forest.find(near) != forest.find(np.array([q]))]
+        for x in apart:
+            if forest.find(np.array([x]))[0] != forest.find(np.array([q]))[0]:
+                forest.join(np.array([x]), np.array([q]))
+                a.append(code[q])
+                b.append(code[x])
+    return np.array(a, dtype="<i8"), np.array(b, dtype="<i8")
+
+
+def links_of_large(buckets: DataFrame, sets: DataFrame, links: DataFrame, small: int = SMALL, chunk: int = CHUNK) -> DataFrame | None:
+    """The links that the larger buckets hold besides those found: each two chunks of a bucket that links leave in several
+    components meet in a task of their own, so memory stays bounded and every pair across components is compared."""
+    large = buckets.where(F.col("size") > small)
+    if large.isEmpty():
+        return None
+    roots = components(links).withColumnRenamed("node", "code")
+    rooted = stage(large.join(roots, "code", "left").select("key", "code", "size", F.coalesce("root", "code").alias("root")), "rooted")
+    ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    chunks = F.ceil(F.col("size") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("code"), chunks).cast("int")
+    units = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = rooted.join(ends.hint("merge"), "key").withColumn("unit", F.explode(units)).select("key", "unit.i", "unit.j", "code", "root")
+    keys = ["key", "i", "j"]
+    # units that one component fills have nothing to add, and their sets are not sent
+    mixed = dealt.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(*keys)
+    open_units = stage(dealt.join(mixed.hint("merge"), keys), "open-units")
+    if open_units.isEmpty():
+        return None
+    rows = open_units.join(sets.hint("merge"), "code").select(*keys, "code", "root", "grams")
+
+    def compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = similar_links(rows["code"].to_numpy(), rows["root"].to_numpy(), [np.asarray(g, dtype="<i8") for g in rows["grams"]])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return rows.groupBy(*keys).applyInPandas(compared, "a long, b long")
+
+
+def near_components(docs: DataFrame, codes: DataFrame, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
+    """(code, root) of the codes (code, text_id, n, s0, s1, ...) that are near copies of others."""
+    buckets = key_buckets(codes)
+    involved = codes.select("code", "text_id").join(buckets.select("code").distinct(), "code", "left_semi")
+    sets = stage(near_sets(docs, involved), "shingle-sets")
+    links = stage(verified(pairs_of(buckets, small), sets), "near-links")
+    more = links_of_large(buckets, sets, links, small, chunk)
+    return components(links if more is None else links.union(stage(more, "near-links"))).withColumnRenamed("node", "code")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) without near copies: of each group of documents that links of similar
-    five-word shingles lead to, the row with the smallest doc_id stays (null ids last, ties by the text's hash)."""
-    kinds = ["fp", *[f"s{i}" for i in range(SKETCH)]]
-    made = stage(sketches(docs).withColumn("code", F.xxhash64(*kinds)), "sketches")
-    codes = stage(made.select("code", *kinds).dropDuplicates(["code"]), "codes")
-    roots = components(near_links(codes)).withColumnRenamed("node", "code")
+    five-word shingles lead to, the row with the smallest doc_id stays (null ids last, ties by the text's hash).
+    Every link is verified by the exact similarity of the two sets of shingles."""
+    made = stage(sketches(docs).withColumnRenamed("fp", "code"), "sketches")
+    roots = near_components(docs, stage(made.drop("doc_id").dropDuplicates(["code"]), "codes"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     best = made.groupBy("code").agg(F.min(place).alias("best")).join(roots, "code", "left")
     winners = best.groupBy(F.coalesce("root", "code").alias("root")).agg(F.min("best").alias("best"))

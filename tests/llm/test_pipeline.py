@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from splitboard.llm import simhash_dedup
 
@@ -49,3 +51,56 @@ def test_chunks_of_large_buckets_lose_nothing(spark):
     codes = simhash_dedup.sketches(docs).withColumn("code", F.xxhash64("fp", *[f"s{i}" for i in range(simhash_dedup.SKETCH)])).dropDuplicates(["code"]).drop("doc_id", "text_id")
     whole, cut = (sorted(map(tuple, components(simhash_dedup.near_links(codes, bucket)).collect())) for bucket in (4096, 7))
     assert whole == cut and len(whole) > 30
+
+
+def edited(rng, kind, n, similarity):
+    """Two texts of n five-word shingles or so at the similarity or just above it, and their exact similarity."""
+    words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+    if kind == "appended":
+        other = words + [f"a{x}" for x in rng.integers(0, 10**9, int(n / similarity) - n)]
+    elif kind == "cut":
+        other = words[: int(np.ceil(n * similarity)) + 4]
+    else:  # each changed word far from the others takes five shingles from both
+        other, most = list(words), int(n * (1 - similarity) / (1 + similarity) / 5)
+        for i in np.linspace(5, n - 6, most).astype(int):
+            other[i] = f"c{rng.integers(10**9)}"
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other))
+    return " ".join(words), " ".join(other), len(x & y) / len(x | y)
+
+
+def test_recall_and_precision_of_near_copies(spark):
+    """Pairs at 0.8 are found whatever the edit; pairs at 0.75 stay two documents."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for similarity in (0.8, 0.75):
+        for kind in ("appended", "cut", "substituted"):
+            for _ in range(150):
+                a, b, exact = edited(rng, kind, 200, similarity)
+                want[len(rows) + 1] = kind, exact
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = {r.doc_id for r in simhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, (_, exact) in want.items() if exact < 0.8} <= kept
+    for kind in ("appended", "cut", "substituted"):
+        near = [i for i, (k, exact) in want.items() if k == kind and exact >= 0.8]
+        assert len(near) >= 150 and sum(i not in kept for i in near) >= 0.99 * len(near)
+
+
+def test_large_groups_of_near_copies_are_verified(spark):
+    """In a bucket too large for all its pairs, chains are followed and no pair below 0.8 is linked."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(204)]
+    rows = [(i, " ".join([*words[: 204 - 4 * (i % 30)], *[f"x{i // 30}y{k}" for k in range(2)]])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash_dedup.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(90))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    made = simhash_dedup.sketches(docs).withColumn("code", F.col("fp"))
+    for small, chunk in ((16, 2048), (2, 7)):
+        roots = {r.code: r.root for r in simhash_dedup.near_components(docs, made, small, chunk).collect()}
+        code = {r.doc_id: r.code for r in made.collect()}
+        got = [roots.get(code[i], code[i]) for i in range(90)]
+        assert len(set(got)) == len(set(root)) == len(set(zip(got, root, strict=True)))
