@@ -6,8 +6,10 @@
    classes; each shard's hierarchical graph is built in one task and written as one row to the shared folder.
 3. Every block of classes is sent to every shard. All searches of a batch go through the graph in step: greedy
    through the upper layers, then a beam on the lowest.
-4. Again and again an audit compares AUDIT searches of a task with the whole shard; while their recall is below
-   RECALL the task's beams widen, up to WIDEST. A search whose beam is full of links has more of them than
+4. Again and again an audit compares drawn searches of a task with the whole shard, until it has seen AUDIT_PAIRS true
+   near pairs; while their recall is below RECALL the task's beams widen, up to WIDEST, which is audited too.
+   Where WIDEST fails, or AUDIT_MOST searches show too few pairs, the whole shard answers the task's searches; so it does for
+   batches while an audit is still short of pairs. A search whose beam is full of links has more of them than
    the beam can tell: it is answered by the whole shard, so no group of near copies is cut short.
 5. Candidates are verified by their cosine in double precision. A task returns for each search how many
    vectors it found, and a link to each of the shard's own components that it touches, never all pairs.
@@ -50,6 +52,8 @@ BUILD_BEAM = 48
 BEAM = 48
 WIDEST = 256
 AUDIT = 32
+AUDIT_PAIRS = 64  # pairs an audit must see before it tells anything
+AUDIT_MOST = 4096  # searches of one audit; with fewer pairs than that in them, the whole shard answers
 AUDIT_MARGIN = 0.1  # pairs that are a little less alike count too, so that an audit has some to look for
 RECALL = 0.97
 EXPAND = 4  # nodes of a beam opened in one step
@@ -201,6 +205,7 @@ class Shard:
             self.graph = Graph(self.x.astype(np.float32), [held[f"links{i}"] for i in range(int(held["layers"]))])
         self.small = self.graph.x
         self.cosine, self.ef, self.batches = cosine, BEAM, 0
+        self.audited, self.truth, self.seen, self.due = self.small[:0], np.zeros(0, dtype=np.int64), 0, False
         self.forest = Forest(len(self.cls))
 
     def whole(self, q: np.ndarray) -> np.ndarray:
@@ -208,25 +213,42 @@ class Shard:
         return q @ self.small.T
 
     def audit(self, q: np.ndarray) -> None:
-        """Widen the beams until AUDIT searches find enough of what the whole shard holds near the threshold."""
-        some = q[:: max(1, len(q) // AUDIT)]
-        least = self.cosine - AUDIT_MARGIN
-        truth = (self.whole(some) >= least).sum(axis=1)
-        while self.ef < min(WIDEST, len(self.small)):
-            _, sims = self.graph.search(some, self.ef)
-            room = sims[:, -1] < least  # other beams are full; their searches go to the whole shard
-            if (sims[room] >= least).sum() >= RECALL * truth[room].sum():
-                return
-            self.ef *= 2
+        """Widen the beams until searches drawn from q find enough of what the whole shard holds near the threshold.
+
+        Searches are drawn, AUDIT at a time, until AUDIT_PAIRS such pairs are seen or q is at its end; with fewer
+        pairs the batches after it are audited too. If the widest beam fails, the whole shard answers.
+        """
+        least, drawn, truth = self.cosine - AUDIT_MARGIN, np.random.default_rng(self.batches).permutation(len(q)), np.zeros(0, dtype=np.int64)
+        while len(truth) < len(q) and self.seen + truth.sum() < AUDIT_PAIRS:
+            truth = np.append(truth, (self.whole(q[drawn[len(truth) : len(truth) + AUDIT]]) >= least).sum(axis=1))
+        self.audited, some = np.concatenate([self.audited, q[drawn[: len(truth)]]]), truth.sum()
+        self.truth, self.seen = np.append(self.truth, truth), self.seen + some
+        while self.seen and self.ef < len(self.small):
+            found, want = 0, 0
+            for at in range(0, len(self.audited), BATCH):
+                _, sims = self.graph.search(self.audited[at : at + BATCH], self.ef)
+                room = sims[:, -1] < least  # other beams are full; their searches go to the whole shard
+                found, want = found + (sims[room] >= least).sum(), want + self.truth[at : at + BATCH][room].sum()
+            if found >= RECALL * want:
+                break
+            self.ef = min(2 * self.ef, WIDEST) if self.ef < WIDEST else len(self.small)
+        self.due = self.seen < AUDIT_PAIRS
+        if not self.due or len(self.audited) >= AUDIT_MOST:
+            if self.due:  # so few pairs tell nothing of the graph
+                self.ef = len(self.small)
+            self.due = False
+            self.audited, self.truth, self.seen = self.audited[:0], self.truth[:0], 0
 
     def candidates(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the search, row) wherever the cosine may reach the threshold."""
         least = self.cosine - 1e-4
-        if self.batches % 64 == 0 and len(self.small) > TOP:
+        unaudited = False
+        if (self.due or self.batches % 64 == 0) and self.ef < len(self.small) and len(self.small) > TOP:
             self.audit(q)
+            unaudited = self.due
         self.batches += 1
         todo, found = np.arange(len(q)), []
-        if self.ef < len(self.small) and TOP < len(self.small):
+        if self.ef < len(self.small) and TOP < len(self.small) and not unaudited:  # a batch before the first verdict goes to the whole shard
             ids, sims = self.graph.search(q, self.ef)
             full = sims[:, -1] >= least
             at, column = np.nonzero((sims >= least) & ~full[:, None])

@@ -64,3 +64,19 @@ def test_recall_of_one_shard(spread):
     found = sum(shard.search(np.arange(i, i + 200), q[i : i + 200])["n"].sum() for i in range(0, 2400, 200))
     true = ((q @ q[:1200].T) >= 0.9).sum() - 1200
     assert 0.97 * true <= found <= true
+
+
+@pytest.mark.parametrize("rare", [True, False])
+def test_a_graph_that_cannot_reach_falls_back_to_the_shard(rare):
+    """With the graph's links cut, sparse pairs (one search in ten, or in two, has one) are found by the whole shard."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    q = rng.normal(size=(3000, 32))
+    near = np.arange(0, 3000, 10 if rare else 2)
+    q[near] = x[near] + rng.normal(size=(len(near), 32)) * 0.05
+    rows = pd.DataFrame({"cls": np.arange(3000), "n": 1, "embedding": list(x)})
+    shard = e.Shard(e.build_shard((32, 0), rows)["payload"][0], 0.9)
+    shard.graph.layers = [np.full_like(links, -1) for links in shard.graph.layers]
+    unit = e.unit(pd.Series(list(q)))
+    found = sum(shard.search(10_000 + np.arange(i, min(i + 250, 3000)), unit[i : i + 250])["n"].sum() for i in range(0, 3000, 250))
+    assert found >= 0.97 * ((unit @ e.unit(rows["embedding"]).T) >= 0.9).sum() > 0.9 * len(near)
