@@ -9,17 +9,17 @@ that fit. When none fits, the example with the largest product is cut to fill th
 A bin that ends short of the full length is cut back to a power of two and its tail
 goes back to the pool, so sequences need no padding at either kind of length.
 
-Defined cases: null text is empty and gives the closing id alone; repeated rows are
-packed each for itself; an empty table gives an empty result; further columns of
+Defined cases: null text is empty and gives the closing id alone; a null loss_from is 0, one beyond the
+text leaves no token with loss; ties of the product go to the piece that waits longest; repeated rows are packed each for itself; an empty table gives an empty result; further columns of
 the input are not read.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,21 +129,33 @@ class Packer:
         return placed
 
 
-def encoder(tokenizer: str | None):
-    """Texts to lists of ids. The rank file holds the same vocabulary as the JSON file of the same name;
-    special tokens' strings in a text are ordinary text."""
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones stand for themselves, the others, in order, for 256 and on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def encoder(tokenizer: str | None) -> Callable[[str], list[int]]:
+    """Texts to the ids of a byte-level BPE of the library tokenizers, given its JSON file (add_special_tokens=False).
+
+    The strings of added tokens in a text get these tokens' ids, as that library gives them. Its ids grow with the rank of
+    their merges, so the same vocabulary drives tiktoken, which is four times as fast (tests compare both).
+    """
     import public_tokenizers
     import tiktoken
 
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        held = json.load(file)
+    added = {t["content"]: t["id"] for t in held["added_tokens"]}
+    to_byte = byte_of()
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in added}
+    encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all", disallowed_special=())
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Pack the texts of docs (doc_id, text, and loss_from if only the tokens from there on bear loss).
+    """Pack the texts of docs (doc_id, text, and loss_from if only the tokens from there on bear loss; null: all).
 
     One row per piece. sequence_id is the task's number and the sequence's number
     in it: a task that is run again gives the same rows.
@@ -158,7 +170,8 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
         encode = encoder(tokenizer)
         packer = Packer(max_tokens, max_segments, loss_limit)
         base = TaskContext.get().partitionId() << 40
-        ids: dict[int, list] = {}  # of documents with a piece in the pool: ids, doc_id, tokens not placed yet
+        ids: dict[int, list] = {}  # of documents with a piece in the pool: ids not placed yet, doc_id, all tokens, the first one held
+        left: dict[int, int] = {}  # tokens not placed yet
         made, n_docs, rows = 0, 0, []
 
         def close(sequences: Iterator[list[tuple]]) -> None:
@@ -166,12 +179,12 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
             for placed in sequences:
                 length = sum(p[2] for p, _ in placed)
                 for (key, start, n, _), offset in placed:
-                    held = ids[key]
-                    crc = zlib.crc32(held[0][start : start + n].tobytes())
-                    rows.append((held[1], start, n, crc, len(held[0]), base + made, offset, length))
-                    held[2] -= n
-                    if not held[2]:
-                        del ids[key]
+                    held, doc_id, total, first = ids[key]
+                    crc = zlib.crc32(held[start - first : start - first + n].tobytes())
+                    rows.append((doc_id, start, n, crc, total, base + made, offset, length))
+                    left[key] -= n
+                    if not left[key]:
+                        del ids[key], left[key]
                 made += 1
 
         def flush() -> pd.DataFrame:
@@ -184,8 +197,12 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
             froms = batch["loss_from"] if "loss_from" in batch else [0] * len(batch)
             for doc_id, text, loss_from in zip(batch["doc_id"], batch["text"], froms, strict=True):
                 found = np.array([*encode(text or ""), END_ID], dtype="<u4")
-                ids[n_docs] = [found, None if pd.isna(doc_id) else int(doc_id), len(found)]
-                close(packer.add((n_docs, 0, len(found), max(0, len(found) - int(loss_from)))))
+                total, free = len(found), 0 if pd.isna(loss_from) else min(max(int(loss_from), 0), len(found))
+                ids[n_docs], left[n_docs] = [found, None if pd.isna(doc_id) else int(doc_id), total, 0], total
+                close(packer.add((n_docs, 0, total, total - free)))
+                if 0 < left.get(n_docs, 0) < total:  # a tail that waits holds its own ids, not the document's
+                    first = min(p[1] for p in packer.pool if p[0] == n_docs)
+                    ids[n_docs][0], ids[n_docs][3] = found[first:].copy(), first
                 n_docs += 1
                 if len(rows) >= 10_000:
                     yield flush()

@@ -11,7 +11,6 @@ from splitboard.llm.packing import Packer, op6_packing, pack
 
 def check_pieces(rows, texts, limit=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -45,7 +44,7 @@ def test_every_id_is_in_one_piece(spark, sf_small):
 
 
 def test_edge_texts(spark):
-    texts = {1: None, 2: "", 3: "<|endoftext|> plain", 4: "word " * 9000, 5: "ß ퟿ 漢字" * 50}
+    texts = {1: None, 2: "", 3: "<|endoftext|> plain <|endoftext|><|endoftext|>x <|endoftext", 4: "word " * 9000, 5: "ß ퟿ 漢字" * 50}
     docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, sequence_id string")
     check_pieces(pack(docs).collect(), texts)
     assert pack(docs.limit(0)).count() == 0
@@ -53,6 +52,31 @@ def test_edge_texts(spark):
     assert sum(r.length for r in pack(null_id).collect()) == 2 * 4
 
 
+def test_ids_are_those_of_the_json_tokenizer():
+    from splitboard.llm.packing import encoder
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), encoder(None)
+    rng = random.Random(2)
+    signs = [*"aZ9 '\n\t.,_-é漢\u00a0\u2003\U0001f600\u0301", "  ", "the", "'s", "<|endoftext|>", "<|", "|>", "\r\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 30)))
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode("<|endoftext|> hi") == [50256, 23105]
+
+
+def test_loss_from(spark):
+    """Null: all tokens bear loss; the limit on loss-bearing tokens binds; every id is placed once."""
+    rows = [(i, "word " * n, loss) for i, (n, loss) in enumerate([(5, None), (50, 3), (40, 1000), (3000, 0), (7, -5), (0, None), (3000, None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, loss_from long")
+    placed = pack(docs, max_tokens=64, max_segments=4, max_loss=20).collect()
+    assert sum(r.length for r in placed) == sum(d for d in {r.doc_id: r.doc_tokens for r in placed}.values())
+    by_sequence = defaultdict(int)
+    froms = {i: min(max(loss or 0, 0), 10**9) for i, _, loss in rows}
+    for r in placed:
+        by_sequence[r.sequence_id] += max(0, r.start + r.length - max(r.start, froms[r.doc_id]))
+    assert max(by_sequence.values()) <= 20
+
+
 def test_limits_hold_together():
     rng = random.Random(5)
     packer = Packer(64, 5, 20, pool=40)
