@@ -1,30 +1,33 @@
 """License scans: phrases at exact places, and an exact set-similarity join of text blocks with templates.
 
-Only DataFrame operations. A block is a line. It meets a template if at least
-``threshold`` of the template's distinct words occur in it (containment). The join
-finds every such pair:
+Only DataFrame operations. A block is a stretch of consecutive words, across line breaks and comment signs, that
+begins with a word of the template and is at most STRETCH times as long as the template. It meets the template
+if it holds at least ``threshold`` of the template's distinct words (containment), all of its telling
+words, and none that tell of another template. The join finds every such block:
 
 - words are ordered by how rare they are over all documents (ties by the word), the
   rarest first. Only words of some template can add to an overlap, so only these are counted;
-- prefix filter: a block that meets a template of n words with a needed overlap of a
-  holds one of the n - a + 1 first words of the template;
-- length filter: the block holds at least a template words;
-- positional filter: the first shared word at place i of the template and j of the
-  block leaves at most 1 + min(n - 1 - i, m - 1 - j) shared words, which must reach a;
-- pairs that remain are verified by their exact overlap.
-
-Templates are a parameter (pairs of label and text), 64 at most with 400 words each,
-so their tables have a proven bound: they are broadcast, and their words stand in the
-plan as literals. No text is shuffled.
-
-Defined cases: null text is empty; a document without words has no labels, score 0;
-repeated rows each give a row; an empty table gives an empty result; further columns
-are left alone.
+- prefix filter: a block that meets a template of n words with a needed overlap of a holds one of the n - a + 1 first
+  words of the template, so only the surroundings of such words are looked at. The rarest word that a block
+  shares with a template is its anchor;
+- length filter: the surroundings hold at least a different template words;
+- positional filter: an anchor at place i of the template's words and j of the m in the surroundings leaves at
+  most 1 + min(n - 1 - i, m - 1 - j) shared words, which must reach a;
+- pairs that remain are verified by the exact overlap of every block around the anchor.
+
+Templates are a parameter, MAX_TEMPLATES at most with MAX_TEMPLATE_WORDS words each (of a long license its notice or its
+first paragraph), so their tables have a proven bound: they are broadcast, and their words stand in the
+plan as literals. No text is shuffled; an anchor carries the template words around it alone.
+
+Defined cases: null text is empty; a document without words has no labels, score 0; rows without a doc_id are scanned like
+others; repeated rows each give a row; ties of the score do not matter, all labels are given; an empty table gives an empty
+result; further columns are left alone.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,24 +35,36 @@ from pyspark.sql import functions as F
 from splitboard.llm.text import let, lower_ascii
 from splitboard.sources import load
 
-THRESHOLD = 0.8
+THRESHOLD, STRETCH = 0.8, 1.5
 MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 64, 400
 
+
+class Template(NamedTuple):
+    """A notice; must: its words without which it is another one; never: words that make it another one."""
+
+    label: str
+    text: str
+    must: str = ""
+    never: str = ""
+
+
 #: Phrases whose places are reported, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Usual notices of public licenses.
 TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit", "Released under the MIT License."),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("all-rights-reserved", "Copyright. All rights reserved."),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    Template("mit", "Released under the MIT License.", "mit license"),
+    Template("apache-2", "Licensed under the Apache License, Version 2.0.", "apache 2"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc nc"),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc sa"),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "commons attribution", "noncommercial sharealike noderivatives noderivs"),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "commons noncommercial"),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "commons sharealike"),
+    Template("gpl-3", "This work is licensed under the GNU General Public License, version 3.", "gnu 3", "lesser affero"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution"),
+    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2"),
+    Template("all-rights-reserved", "Copyright. All rights reserved.", "rights reserved"),
 ]
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,66 +80,90 @@ def words_of(plain: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ", -1))
 
 
-def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, label, word): the distinct words of the templates."""
-    if len(templates) > MAX_TEMPLATES or any(len(t.split()) > MAX_TEMPLATE_WORDS for _, t in templates):
+def template_words(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    """(template, label, span, must, never, word): the distinct words of the templates."""
+    if len(templates) > MAX_TEMPLATES or any(len(t.text.split()) > MAX_TEMPLATE_WORDS for t in templates):
         raise ValueError(f"at most {MAX_TEMPLATES} templates of {MAX_TEMPLATE_WORDS} words")
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, label string, text string")
-    return rows.select("template", "label", F.explode(F.array_distinct(words_of(spaced(F.col("text"))))).alias("word"))
+    rows = spark.createDataFrame([(i, *Template(*t)) for i, t in enumerate(templates)], "template int, label string, text string, must string, never string")
+    words = words_of(spaced(F.col("text")))
+    rows = rows.withColumns({"words": words, "span": F.ceil(F.size(words) * F.lit(STRETCH)).cast("int"), "must": words_of(spaced(F.col("must"))), "never": words_of(spaced(F.col("never")))})
+    return rows.select("template", "label", "span", "must", "never", F.explode(F.array_distinct("words")).alias("word"))
 
 
-def global_order(docs: DataFrame, own: DataFrame) -> list[str]:
-    """The templates' words, the globally rarest first; counted over all documents."""
-    spoken = docs.select(F.explode(words_of(spaced(F.coalesce("text", F.lit(""))))).alias("word"))
-    counted = spoken.join(F.broadcast(own.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = own.select("word").distinct().join(F.broadcast(counted), "word", "left")
-    return [r.word for r in ranked.orderBy(F.coalesce("n", F.lit(0)), "word").collect()]
+def global_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary, the globally rarest word first; counted over all documents."""
+    spoken = docs.select(F.explode(F.filter(words_of(spaced(F.coalesce("text", F.lit("")))), lambda w: w.isin(vocabulary))).alias("word"))
+    counted = {r.word: r.n for r in spoken.groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each word of the vocabulary at most
+    return sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs (doc_id, text): its words, the places of the phrases, labels and the best containment."""
     spark = docs.sparkSession
     own = template_words(spark, templates)
-    order = global_order(docs, own)
-    rank = F.create_map(*[x for i, w in enumerate(order) for x in (F.lit(w), F.lit(i))])
+    known = own.select("word", "span", "never").collect()
+    order = global_order(docs, sorted({r.word for r in known} | {w for r in known for w in r.never}))
+    span = max(r.span for r in known)
+    rank = spark.createDataFrame(list(enumerate(order)), "word_rank int, word string")
 
-    numbered = own.groupBy("template", "label").agg(F.sort_array(F.collect_list(rank[F.col("word")])).alias("t_ranks"))
-    needed = numbered.withColumn("need", F.ceil(F.size("t_ranks") * F.lit(threshold) - 1e-9).cast("int"))
-    index = needed.select("label", "t_ranks", "need", F.posexplode("t_ranks").alias("i", "word_rank")).where(F.col("i") <= F.size("t_ranks") - F.col("need"))
-    prefix = F.array(*[F.lit(order[r.word_rank]) for r in index.select("word_rank").distinct().collect()])
-    least = min(r.need for r in needed.select("need").collect())
+    listed = own.join(F.broadcast(rank), "word").groupBy("template", "label", "span", "must", "never").agg(F.array_sort(F.collect_list(F.struct("word_rank", "word"))).alias("t"))
+    listed = listed.select("label", "span", "must", "never", F.transform("t", lambda x: x["word"]).alias("t_words"), F.ceil(F.size("t") * F.lit(threshold) - 1e-9).cast("int").alias("need"))
+    index = listed.select("*", F.posexplode("t_words").alias("i", "anchor")).where(F.col("i") <= F.size("t_words") - F.col("need"))
+    prefix = sorted({r.anchor for r in index.select("anchor").collect()})
 
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), spaced), lambda line: line != "")
-    plain = docs.select("doc_id", lines.alias("lines")).withColumn("row", F.monotonically_increasing_id())
+    def anchors(words: Column) -> Column:
+        """The places of prefix words with the template words around them; texts without any are not taken further apart."""
+        hits = F.array_compact(F.transform(words, lambda w, at: F.when(w.isin(order), F.struct(at.alias("at"), w.alias("word")))))
 
-    def block(line: Column) -> Column:
-        """The ranks of a line's template words, in global order, if it holds a word of some prefix."""
-        return let(F.split(line, " ", -1), lambda ws: F.when(F.arrays_overlap(ws, prefix), F.sort_array(F.array_compact(F.transform(F.array_distinct(ws), lambda w: rank[w])))))
+        def around(hits: Column) -> Column:
+            places = F.transform(hits, lambda h, i: F.when(h["word"].isin(prefix), F.struct(h["at"].alias("at"), h["word"].alias("word"), F.slice(hits, F.greatest(i - span + 2, F.lit(1)), 2 * span - 1).alias("near"))))
+            return F.array_compact(places)
 
-    blocks = F.filter(F.transform("lines", block), lambda b: F.size(b) >= least)
-    joined = F.array_join("lines", " ")
-    found = let(joined, lambda text: F.struct(count_words(text).alias("n_words"), *[places(text, p).alias(label) for p, label in PHRASES.items()]))
-    per_row = plain.select("row", "doc_id", found.alias("found"), blocks.alias("blocks"))
+        return F.when(F.arrays_overlap(words, F.array(*map(F.lit, prefix))), let(hits, around))
 
+    def parts(plain: Column) -> Column:
+        return F.struct(count_words(plain).alias("n_words"), *[places(plain, p).alias(label) for p, label in PHRASES.items()], let(words_of(plain), anchors).alias("anchors"))
+
+    per_row = docs.select("doc_id", let(spaced(F.coalesce("text", F.lit(""))), parts).alias("found")).withColumn("row", F.monotonically_increasing_id())
     starts = F.flatten(F.array(*[F.col(f"found.`{label}`") for label in PHRASES.values()]))
     base = F.array_compact(F.array(*[F.when(F.size(F.col(f"found.`{label}`")) > 0, F.lit(label)) for label in PHRASES.values()]))
-    flat = per_row.select("row", "doc_id", F.col("found.n_words").alias("n_words"), starts.alias("starts"), base.alias("base"), F.explode_outer("blocks").alias("block"))
-    probes = flat.select("*", F.posexplode_outer("block").alias("j", "word_rank"))
-    m, n = F.size("block"), F.size("t_ranks")
+    # Summed up before the anchors become rows, so that no row carries the others or all places.
+    summed = per_row.select(
+        "row", "doc_id", F.col("found.n_words").alias("n_words"), F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"), base.alias("base"), F.col("found.anchors").alias("anchors"),
+    )
+    own_columns = [c for c in summed.columns if c != "anchors"]
+    flat = summed.select(*own_columns, F.explode_outer("anchors").alias("a"))
+
+    # The surroundings' different words and how many of them are rarer than the anchor.
+    ranks = F.array(*map(F.lit, order))
+    block = F.array_distinct(F.transform("a.near", lambda x: x["word"]))
+    probes = flat.select("*", F.size(block).alias("m"), F.size(F.filter(block, lambda w: F.array_position(ranks, w) < F.array_position(ranks, F.col("a.word")))).alias("j"))
+    n, m = F.size("t_words"), F.col("m")
     left = F.lit(1) + F.least(n - 1 - F.col("i"), m - 1 - F.col("j"))
-    met = probes.join(F.broadcast(index), (probes["word_rank"] == index["word_rank"]) & (m >= F.col("need")) & (left >= F.col("need")), "left")
-    overlap = F.size(F.array_intersect("block", "t_ranks"))
-    good = F.coalesce(overlap >= F.col("need"), F.lit(False))
-    result = met.groupBy("row", "doc_id", "n_words", "starts", "base").agg(
-        F.collect_set(F.when(good, F.col("label"))).alias("met"), F.max(F.when(good, overlap / n)).alias("best")
+    met = probes.join(F.broadcast(index), (F.col("a.word") == index["anchor"]) & (m >= F.col("need")) & (left >= F.col("need")), "left")
+
+    at, near = F.col("a.at"), F.filter("a.near", lambda x: F.abs(x["at"] - F.col("a.at")) < F.col("span"))
+    mine = F.filter(near, lambda x: F.array_contains("t_words", x["word"]))
+
+    def overlap(start: Column) -> Column:
+        """Shared words of the block that begins here; null if a telling word is missing or another's is there."""
+        held = F.transform(F.filter(near, lambda x: x["at"].between(start["at"], start["at"] + F.col("span") - 1)), lambda x: x["word"])
+        fine = (F.size(F.array_intersect("must", held)) == F.size(F.array_distinct("must"))) & ~F.arrays_overlap("never", held)
+        return F.when(fine, F.size(F.array_intersect("t_words", held)))
+
+    best = F.when(F.col("label").isNotNull(), F.array_max(F.transform(F.filter(mine, lambda x: x["at"] <= at), overlap)))
+    good = F.coalesce(F.col("best") >= F.col("need"), F.lit(False))
+    result = met.withColumn("best", best).groupBy(*own_columns).agg(
+        F.collect_set(F.when(good, F.col("label"))).alias("met"), F.max(F.when(good, F.col("best") / n)).alias("best")
     )
     labels = F.array_sort(F.array_distinct(F.concat("base", "met")))
     return result.select(
         "doc_id",
         "n_words",
-        F.size("starts").cast("long").alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"),
-        F.array_max("starts").cast("long").alias("last_word"),
+        "n_base",
+        "first_word",
+        "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
@@ -149,13 +188,14 @@ def places(plain: Column, phrase: str) -> Column:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its license phrases and the labels of the templates that its lines meet."""
+    """Every document with its license phrases and the labels of the templates that it holds."""
     return scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_sql() -> str:
-    template_rows = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+    template_rows = ", ".join(f"({i}, '{t.label}', '{t.text}', '{t.must}', '{t.never}')" for i, t in enumerate(TEMPLATES))
     phrase_rows = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in PHRASES.items())
+    word = "'[a-z0-9]+'"
     return rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -167,18 +207,24 @@ WITH docs AS (
   SELECT rid, label, i - 1 AS pos FROM worded, phrases, unnest(range(1, len(w) + 1)) AS r(i) WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p
 ), base AS (
   SELECT rid, count(*) AS n, min(pos) AS a, max(pos) AS b, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY rid
-), templates(k, label, text) AS (VALUES {template_rows}
+), templates(k, label, text, must, never) AS (VALUES {template_rows}
 ), tw AS (
-  SELECT DISTINCT k, label, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM templates
-), sizes AS (SELECT k, count(*) AS n FROM tw GROUP BY k
-), lines AS (
-  SELECT rid, i, regexp_extract_all(string_split(t, chr(10))[i], '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM docs, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS r(i)
-), lw AS (SELECT DISTINCT rid, i, unnest(w) AS word FROM lines
-), met AS (
-  SELECT lw.rid, tw.label, count(*) / any_value(sizes.n) AS c FROM lw JOIN tw USING (word) JOIN sizes ON sizes.k = tw.k
-  GROUP BY lw.rid, lw.i, tw.k, tw.label HAVING count(*) >= ceil(any_value(sizes.n) * {THRESHOLD} - 1e-9)
-), best AS (SELECT rid, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY rid)
+  SELECT DISTINCT k, unnest(regexp_extract_all(lower(text), {word})) AS word FROM templates
+), rules AS (
+  SELECT k, label, ceil(len(regexp_extract_all(lower(text), {word})) * {STRETCH})::BIGINT AS span, ceil((SELECT count(*) FROM tw WHERE tw.k = t.k) * {THRESHOLD} - 1e-9) AS need,
+         (SELECT count(*) FROM tw WHERE tw.k = t.k) AS n, regexp_extract_all(must, {word}) AS must, regexp_extract_all(never, {word}) AS never FROM templates t
+), spoken AS (
+  SELECT rid, i AS spot, w[i] AS word FROM worded, unnest(range(1, len(w) + 1)) AS r(i)
+), own AS (
+  SELECT rid, k, spot, word FROM spoken JOIN tw USING (word)
+), held AS (
+  SELECT a.rid, a.k, a.spot, count(DISTINCT b.word) AS c FROM own a JOIN rules r ON r.k = a.k JOIN own b ON b.rid = a.rid AND b.k = a.k AND b.spot BETWEEN a.spot AND a.spot + r.span - 1
+  GROUP BY a.rid, a.k, a.spot HAVING count(DISTINCT b.word) >= any_value(r.need)
+), told AS (
+  SELECT h.rid, r.label, h.c / r.n AS c, list_distinct(w[h.spot : h.spot + r.span - 1]) AS words, r.must, r.never FROM held h JOIN rules r USING (k) JOIN worded USING (rid)
+), best AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(c) AS c FROM told WHERE list_has_all(words, must) AND NOT list_has_any(words, never) GROUP BY rid
+)
 SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.b AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels,
