@@ -54,7 +54,24 @@ def test_license_cases(spark):
     assert got[5, 30_003].first_word == 30_000 and got[None, 4].n_base == 1
     assert license_scan.scan(table).count() == 8 and license_scan.scan(table.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        license_scan.scan(table, [("x", "w " * 401)])
+        license_scan.scan(table, [license_scan.Template("x", "w " * 401)])
+
+
+def test_licenses_over_lines_and_siblings(spark):
+    """Notices wrapped in any way and behind comment signs are found; siblings are told apart; scattered words are no notice."""
+    grant = "# Permission is hereby\n# granted, free of charge, to any person\n# obtaining a copy of this software and so on"
+    scattered = " ".join(f"{w} and then much else was said here {i}" for i, w in enumerate("permission is hereby granted free of charge to any person obtaining a copy of this software".split()))
+    cases = {
+        1: (grant, "mit"), 2: (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided", "bsd"),
+        3: ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */", "mpl-2"),
+        4: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 5: ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+        6: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"), 7: ("This work is licensed under a Creative Commons Attribution 4.0\nInternational License.", "cc-by"),
+        8: (scattered, ""), 9: ("released under the new license of ours", ""), 10: ("word " * 500 + grant + " word" * 500, "mit"), 11: (f"{grant}\n" * 300, "mit"),
+        12: ("Licensed under the GNU Lesser General Public License, version 3.", ""),
+    }
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, *[(i, t) for i, (t, _) in cases.items()])).collect()}
+    assert {i: r.labels for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
+    assert got[1].score == 1.0 and 0.8 <= got[2].score <= 1.0
 
 
 def test_decontaminate_cases(spark):
@@ -69,3 +86,30 @@ def test_decontaminate_cases(spark):
     left = [r.doc_id for r in decontaminate.without_contaminated(table, items).collect()]
     assert sorted(left) == [3, 5, 6, 9]
     assert decontaminate.contained(table.limit(0), items).count() == 0 and decontaminate.contained(table, items.limit(0)).count() == 0
+
+
+def test_decontaminate_beyond_the_broadcast(spark, monkeypatch):
+    """Past the broadcast's limit the bit map and the salted join give the same pairs, short items included."""
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(3 + 9 * i)), 0) for i in range(30)], "item_id long, text string, n int")
+    texts = {r.item_id: r.text for r in items.collect()}
+    table = docs(spark, *[(d, f"start {texts[d % 30]} middle {texts[(d * 7) % 30]} end") for d in range(60)], *[(100 + d, f"all hold {texts[29]} and {d}") for d in range(200)])
+    few = sorted(map(tuple, decontaminate.contained(table, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(decontaminate, "FILTER_WORDS", 64)
+    assert sorted(map(tuple, decontaminate.contained(table, items).collect())) == few and len(few) >= 300
+
+
+def test_short_items_equal_the_sql(spark, tmp_path):
+    from tests.oracle import connect, plain
+
+    sf = "/root/testdata/sf0.001"
+    words = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(5).collect()]
+    rows = [(i, " ".join(t.split()[3 : 3 + n])) for i, (t, n) in enumerate(zip(words, (1, 2, 4, 5, 40), strict=True))] + [(9, ""), (10, None)]
+    found = decontaminate.contained(spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame(rows, "item_id long, text string")).drop("text_id")
+    with connect(sf) as db:
+        db.execute("CREATE OR REPLACE TABLE own (item_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO own VALUES (?, ?)", rows)
+        result = db.execute(decontaminate.OP2_SQL.replace("FROM benchmark", "FROM own"))
+        wanted = sorted(tuple(map(plain, r)) for r in result.fetchall())
+        columns = [c[0] for c in result.description]
+    assert sorted(tuple(map(plain, r)) for r in found.select(*columns).collect()) == wanted and len(wanted) > 5
