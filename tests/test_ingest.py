@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from splitboard.operators import entries as e
 from splitboard.operators import ingest as g
@@ -31,19 +32,60 @@ def test_load_twice_then_replace(spark, store):
     assert store["result"].count() == 5 and store["relay_leg"].count() == 4 and store["raw_document"].count() == 1
     assert store["source_reference"].count() == store["document_classification"].count() == 1
     meet = store["meet"].first()
-    assert (meet.name, str(meet.start_date), str(meet.end_date)) == ("56th SNAG Seniors", "2026-03-17", "2026-03-22")
+    assert (meet.name, str(meet.start_date), str(meet.end_date)) == ("9th Harbour Seniors", "2026-03-17", "2026-03-22")
     first = store["result"].where("placement = 1").first()
     assert first.round == "Prelim" and str(first.swim_date) == "2026-03-17" and '"distance":50' in first.splits
 
     shorter = batch(spark, "day1-results-v2", page=PAGE)
     three = g.load_sheets(store, *shorter, 3, replace=True)
     assert (three.inserted, three.replaced) == (4, 8)
-    assert store["result"].count() == 4
-    assert [r.status for r in store["ingestion_run"].orderBy("run_id").collect()] == ["succeeded"] * 3
+    assert store["result"].count() == 4 and store["relay_result"].count() == 0 and store["relay_leg"].count() == 0  # the new document has no relays
+    store.vacuum()
+    assert store["result"].count() == 4 and store["relay_leg"].count() == 0
+    again = g.load_sheets(store, *shorter, 3, replace=True)  # the same run repeated
+    assert (again.inserted, again.duplicates, again.replaced) == (0, 4, 0) and store["result"].count() == 4
+    assert [r.status for r in store["ingestion_run"].orderBy("run_id").collect()] == ["succeeded"] * 4
     kept, gone = g.without_meet(store, meet.meet_key)
     assert gone["result"] == 4 and gone["meet"] == 1 and kept["result"].count() == 0
 
 
+def test_a_run_that_dies_between_writes_is_repeated(spark, store, monkeypatch):
+    """Whatever table the run dies at, the second attempt leaves each row once; an error of the engine is audited."""
+    docs, pages = batch(spark, "day1-results")
+    real = store.add
+
+    def dying(at):
+        def add(name, rows):
+            if name == at:
+                spark.read.parquet("/no/such/place").count()
+            real(name, rows)
+
+        return add
+
+    for at in ("relay_leg", "relay_result", "result"):
+        monkeypatch.setattr(store, "add", dying(at))
+        with pytest.raises(AnalysisException):
+            g.load_sheets(store, docs, pages, 5)
+        monkeypatch.setattr(store, "add", real)
+    done = g.load_sheets(store, docs, pages, 5)
+    assert store["result"].count() == 5 and store["relay_result"].count() == 3 and store["relay_leg"].count() == 4
+    assert store["relay_leg"].join(store["relay_result"], "relay_key", "left_anti").count() == 0
+    assert [(r.status, (r.validation_errors or "")[:8]) for r in store["ingestion_run"].orderBy("status").collect()] == [("failed", "Analysis")] * 3 + [("succeeded", "")]
+    assert done.inserted == 5
+
+
+def test_archive_preview(spark):
+    page = PAGE + "\n" + RELAYS
+    manifest = spark.createDataFrame(
+        [(1, "day-1-results.pdf", "overall_results", "a/1"), (2, "medal.pdf", "medal_tally", "a/2"), (3, "day-2-results.pdf", "overall_results", "a/3"), (4, "day-3-results.pdf", "overall_results", None), (5, "x.pdf", "other_pdf", "a/5")],
+        "ord int, filename string, category string, saved string",
+    )
+    pages = spark.createDataFrame([("a/1", 1, page), ("a/2", 1, page), ("a/5", 1, "HY-TEK's MEET MANAGER\nnoise\nnoise")], "saved string, page_no int, text string")
+    rows, totals = g.archive_preview(manifest, pages)
+    assert [(r.ord, r.status, r.events, r.individual, r.relays, r.people) for r in rows.orderBy("ord").collect()] == [(1, "parsed", 2, 5, 3, 9), (3, "no_text", 0, 0, 0, 0), (5, "low_confidence", 0, 0, 0, 0)]
+    assert totals.first().asDict() == {"files": 3, "failed": 2, "events": 2, "individual": 5, "relays": 3, "people": 9}
+
+
 def test_rejections_are_audited(spark, store):
     docs = spark.createDataFrame([("m", b"x", "medal-tally.pdf", "u", None, None, None, 0), ("n", b"y", "results.pdf", "u", None, None, None, 1), ("w", b"z", "other.pdf", "u", None, None, None, 2)], DOCS)
     pages = spark.createDataFrame([("m", 1, PAGE), ("n", 1, "no sheet"), ("w", 1, "HY-TEK's MEET MANAGER\nnoise\nnoise")], PAGES)
@@ -86,23 +128,23 @@ def test_entries_over_a_loaded_store(spark, store):
     docs, pages = batch(spark, "day1-results")
     g.load_sheets(store, docs, pages, 1)
     meet = store["meet"].first().meet_key
-    listed = e.list_meets(store, search="snag").rows.first()
+    listed = e.list_meets(store, search="harbour").rows.first()
     assert (listed.result_count, listed.athlete_count) == (5, 5)
     assert [r.event for r in e.get_meet(store, meet).collect()] == ["Boys 13-14 200 LC Meter IM"]
     assert e.get_meet(store, meet).first().results[0].order.placement == 1
-    swimmer = store["athlete"].where("name LIKE 'WU%'").first().athlete_key
-    assert e.athlete_bests(store, swimmer).first().seconds == 138.62
+    swimmer = store["athlete"].where("name LIKE 'OAKES%'").first().athlete_key
+    assert e.athlete_bests(store, swimmer).first().seconds == 148.51
     assert e.athlete_stats(store, swimmer).first().results == 1 and e.athlete_recent(store, swimmer).count() == 1
     found = e.list_all_results(store, event="meter", limit=3)
     assert found.total == 8 and found.total_pages == 3 and found.rows.count() == 3
-    assert e.list_all_results(store, athlete="uhle").total == 1
-    assert e.list_results(store, sort="seconds", order="asc").rows.first().time == "2:18.62"
-    assert e.list_results(store, team="pacific", athlete="wu").total == 1 and e.list_results(store, is_dq=True).total == 1
-    relay = e.list_relays(store, athlete="thai").rows.first()
-    assert [x.athlete.name for x in relay.legs] == ["Uhle, Ella", "Thai, Kayla", "Lim, Ann", "Tan, Bea"]
-    thai = store["athlete"].where("name LIKE 'Thai%'").first().athlete_key
-    assert e.athlete_relays(store, thai).first().own_leg == 2
-    assert len(e.athlete_history(store, thai).first()["items"]) == 1
+    assert e.list_all_results(store, athlete="quill").total == 1
+    assert e.list_results(store, sort="seconds", order="asc").rows.first().time == "2:28.51"
+    assert e.list_results(store, team="northgate", athlete="oakes").total == 1 and e.list_results(store, is_dq=True).total == 1
+    relay = e.list_relays(store, athlete="birch").rows.first()
+    assert [x.athlete.name for x in relay.legs] == ["Quill, Iris", "Birch, Nora", "Dorn, Ann", "Pike, Bea"]
+    birch = store["athlete"].where("name LIKE 'Birch%'").first().athlete_key
+    assert e.athlete_relays(store, birch).first().own_leg == 2
+    assert len(e.athlete_history(store, birch).first()["items"]) == 1
     assert e.list_events(store).count() == 2
     assert [(r.round, r.dqs) for r in e.meet_by_round(store, meet).collect()] == [("Prelim", 1)]
     points, summary = e.progression(store, [swimmer], "Boys 13-14 200 LC Meter IM")
