@@ -49,10 +49,20 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "line_no"))).drop("page_no", "line_no")
 
 
-def is_splits(line: Column) -> Column:
-    """A reaction time, or times with differences in brackets, that is no other line."""
+def groups_of(line: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that begins with ^, in one match; null where it does not match."""
+    mark = "\x01"
+    joined = F.regexp_replace(line, rf"(?s){pattern}.*$", mark + mark.join(f"${i}" for i in range(1, n + 1)))
+    return F.when(joined.startswith(mark), F.slice(F.split(joined, mark, -1), 2, n))
+
+
+def matched(lines: DataFrame) -> DataFrame:
+    """lines with what each matches by itself, found once: res and rel (groups of an individual and a relay result), has_leg, coded, is_splits."""
+    line = F.col("line")
+    found = lines.select("*", groups_of(line, RESULT, 7).alias("res"), groups_of(line, RELAY_RESULT, 5).alias("rel"), line.rlike(RELAY_LEG).alias("has_leg"), line.rlike(DQ_CODE).alias("coded"))
+    # A reaction time, or times with differences in brackets, that is no other line.
     times = line.rlike(r"^\d{1,2}[.:]\d{2}|^\d+:\d{2}\.\d{2}\s") & line.contains("(")
-    return line.startswith("r:") | (times & ~line.rlike(DQ_CODE) & ~line.rlike(RESULT))
+    return found.withColumn("is_splits", line.startswith("r:") | (times & ~F.col("coded") & F.col("res").isNull()))
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -63,7 +73,7 @@ def classify(lines: DataFrame) -> DataFrame:
 
     is_page = line.rlike(PAGE_HEADER)
     meet_like = line.rlike(MEET_HEADER)
-    rows = lines.select("*", (meet_like & ~is_page).alias("meet_like"))
+    rows = matched(lines).withColumn("meet_like", meet_like & ~is_page)
     first_meet = F.col("meet_like") & (F.coalesce(F.sum(F.col("meet_like").cast("int")).over(before), F.lit(0)) == 0)
     head = F.when(is_page, "page").when(first_meet, "meet").when(line.rlike(SESSION), "session").when(line.rlike(EVENT_HEADER), "event").when(line.rlike(CONTINUATION), "continuation")
     rows = rows.withColumn("head", head)
@@ -86,11 +96,11 @@ def classify(lines: DataFrame) -> DataFrame:
     rows = rows.select("*", F.coalesce(F.last(turns, ignorenulls=True).over(so_far), F.lit(False)).alias("in_relay"), F.coalesce(F.last(header, ignorenulls=True).over(of_event), F.lit("Prelim Time")).alias("time_type"))
 
     left, has_event = F.col("kind").isNull(), F.col("event_key").isNotNull()
-    relay = left & F.col("in_relay") & has_event & line.rlike(RELAY_RESULT) & ~line.rlike(RELAY_LEG)
-    result = left & ~relay & has_event & line.rlike(RESULT) & ~is_splits(line)
+    relay = left & F.col("in_relay") & has_event & F.col("rel").isNotNull() & ~F.col("has_leg")
+    result = left & ~relay & has_event & F.col("res").isNotNull() & ~F.col("is_splits")
     rows = rows.select("*", relay.alias("is_relay"), result.alias("is_result"))
     in_block = Window.partitionBy("doc_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dq = F.regexp_extract(line, RELAY_RESULT, 5) == "DQ", F.regexp_extract(line, RESULT, 6) == "DQ"
+    dq = F.get("rel", F.lit(4)) == "DQ", F.get("res", F.lit(5)) == "DQ"
     rows = rows.select(
         "*",
         F.count_if("is_relay").over(in_block).alias("relay_no"),
@@ -99,14 +109,14 @@ def classify(lines: DataFrame) -> DataFrame:
         F.coalesce(F.last(F.when(F.col("is_result"), dq[1]), ignorenulls=True).over(in_block), F.lit(False)).alias("result_dq"),
     )
     open_relay = F.col("in_relay") & (F.col("relay_no") > 0)
-    coded = line.rlike(DQ_CODE)
+    coded, legs, splits = F.col("coded"), F.col("has_leg"), F.col("is_splits")
     target = F.when(F.col("is_relay") | F.col("is_result"), F.when(F.col("is_relay"), "relay").otherwise("result"))
     target = target.when(left & coded, F.when(open_relay & F.col("relay_dq"), "relay").when((F.col("result_no") > 0) & F.col("result_dq"), "result"))
-    target = target.when(left & (is_splits(line) | line.rlike(RELAY_LEG)), F.when(open_relay, "relay").when((F.col("result_no") > 0) & is_splits(line), "result"))
+    target = target.when(left & (splits | legs), F.when(open_relay, "relay").when((F.col("result_no") > 0) & splits, "result"))
     rows = rows.withColumn("target", target)
-    kind = F.when(~left, F.col("kind")).when(open_relay & line.rlike(RELAY_LEG), "legs").when(F.col("is_relay"), "relay").when(coded & F.col("target").isNotNull(), "dq_code")
-    kind = kind.when(is_splits(line), "splits").when(F.col("is_result"), "result").when(F.col("meet_like") | line.rlike(r"^\d+$"), "noise").otherwise("unmatched")
-    return rows.select("doc_id", "at", "line", kind.alias("kind"), "event_key", "block", "relay_no", "result_no", "target", "time_type")
+    kind = F.when(~left, F.col("kind")).when(open_relay & legs, "legs").when(F.col("is_relay"), "relay").when(coded & F.col("target").isNotNull(), "dq_code")
+    kind = kind.when(splits, "splits").when(F.col("is_result"), "result").when(F.col("meet_like") | line.rlike(r"^\d+$"), "noise").otherwise("unmatched")
+    return rows.select("doc_id", "at", "line", kind.alias("kind"), "event_key", "block", "relay_no", "result_no", "target", "time_type", "res", "rel")
 
 
 def split_pairs(line: Column) -> Column:
@@ -138,8 +148,8 @@ class Sheets:
     quality: DataFrame
 
 
-def read_sheets(pages: DataFrame) -> Sheets:
-    """All tables of the sheets in pages (doc_id, page_no, text)."""
+def read_sheets(pages: DataFrame, keep: bool = False) -> Sheets:
+    """All tables of the sheets in pages (doc_id, page_no, text); keep: results and relays are written out, for callers that read them more than once."""
     lines = stage(classify(page_lines(pages)), "sheet-lines")
     line = F.col("line")
 
@@ -185,15 +195,16 @@ def read_sheets(pages: DataFrame) -> Sheets:
     def swum(text: Column) -> Column:
         return F.when(~text.isin("DQ", *NO_SHOWS), text)
 
-    g = lambda n: F.regexp_extract(line, RESULT, n)
+    g = lambda n: F.get("res", F.lit(n - 1))
     fields = F.struct(
         placed(g(1)).alias("placement"), g(1).startswith("*").alias("is_tied"), strip(F.regexp_replace(g(2), r"^\*+", "")).alias("name"), g(2).startswith("*").alias("is_guest"),
         g(3).try_cast("int").alias("age"), strip(g(4)).alias("team"), g(5).alias("seed_time"), swum(g(6)).alias("mark"), (g(6) == "DQ").alias("is_dq"), g(6).isin(NO_SHOWS).alias("is_ns"),
         F.nullif(g(7), F.lit("")).alias("qualifier"),
     )
     results = segments("result", "result_no", fields, {})
+    results = stage(results, "sheet-results") if keep else results
 
-    r = lambda n: F.regexp_extract(line, RELAY_RESULT, n)
+    r = lambda n: F.get("rel", F.lit(n - 1))
     mark = F.regexp_replace(r(5), "^X", "")
     fields = F.struct(
         placed(r(1)).alias("placement"), strip(r(2)).alias("team_name"), r(3).alias("relay_letter"), r(4).alias("seed_time"), swum(mark).alias("mark"), (mark == "DQ").alias("is_dq"),
@@ -204,6 +215,7 @@ def read_sheets(pages: DataFrame) -> Sheets:
     legs_of_line = F.arrays_zip(*[a.alias(n) for a, n in zip(each, names, strict=True)])
     found_legs = F.array_sort(F.collect_list(where("legs", F.struct("at", legs_of_line.alias("l"))))).alias("found_legs")
     relays = segments("relay", "relay_no", fields, {"found_legs": found_legs}).withColumn("found_legs", F.flatten(F.transform("found_legs", lambda x: x["l"])))
+    relays = stage(relays, "sheet-relays") if keep else relays
     legs = relay_legs(relays)
     return Sheets(lines, meets, events, results, relays.drop("found_legs"), legs, quality(lines, meets, events, results, relays))
 

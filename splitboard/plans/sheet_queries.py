@@ -63,12 +63,12 @@ def sheet_roundtrip_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, 'Team ' || o_custkey AS team_name, chr(65 + (o_orderkey % 26)::INTEGER) AS relay_letter, n AS n_legs,
-       (SELECT string_agg(l_linenumber::VARCHAR || ' P' || l_partkey || ', Swimmer', '; ' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 9) AS legs
-FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 9 GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+       (SELECT string_agg(l_linenumber::VARCHAR || ' P' || l_partkey || ', Swimmer', '; ' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS legs
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
 """)
 def sheet_roundtrip_relays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as relays of their line items, as read from sheets."""
-    legs = load(spark, sf_dir, "lineitem").where("l_linenumber <= 9").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    legs = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
     rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(legs, F.col("o_orderkey") == F.col("l_orderkey"))
     leg = F.array_join(F.transform("l", lambda x: F.format_string("%d) P%d, Swimmer 14", x["l_linenumber"], x["l_partkey"])), " ")
     letter = F.char(F.lit(65) + F.col("o_orderkey") % 26)
@@ -135,16 +135,104 @@ def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.detect_formats(docs.union(pages), rules).drop("parser_version")
 
 
-@query(r"""
+#: (start of a link's word, what a document of that name begins with)
+NAMED = [("a", "medal-"), ("e", "start-list-"), ("i", "finals-by-age-group-"), ("t", "results-"), ("d", "cships-")]
+NAME_SQL = "lower(regexp_extract(html, 'href=\"/([^\"]*)\"', 1))"
+NAME_SQL = "CASE " + " ".join(f"WHEN {NAME_SQL}[1] = '{c}' THEN '{p}' || {NAME_SQL}" for c, p in NAMED) + f" ELSE {NAME_SQL} END"
+
+
+@query(rf"""
 SELECT page_id, CASE WHEN n LIKE '%medal%' THEN 'medal_tally' WHEN n LIKE '%start-list%' OR n LIKE '%startlist%' THEN 'start_list' WHEN n LIKE '%finals-by-age-group%' OR n LIKE '%age-group-result%' THEN 'age_group_results'
        WHEN n LIKE '%result%' THEN 'overall_results' WHEN n LIKE '%cships%' OR n LIKE '%championship%' THEN 'event_information' ELSE 'other_pdf' END AS category,
        year, slug FROM (
-  SELECT page_id, regexp_extract(url, '\b(20[0-9]{2})\b', 1) AS y, nullif(regexp_extract(url, '\b(20[0-9]{2})\b', 1), '') AS year,
-         regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-         lower(list_extract(['medal-', 'start-list-', 'finals-by-age-group-', 'results-', 'cships-', 'notes-'], (page_id % 6)::INTEGER + 1) || list_extract(string_split(url, '/'), -1)) AS n FROM pages)
+  SELECT page_id, nullif(regexp_extract(url, '\b(20[0-9]{{2}})\b', 1), '') AS year, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {NAME_SQL} AS n FROM pages)
 """)
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories of file names made from page URLs, with the year and slug of the URL."""
-    first = F.get(F.array(*map(F.lit, ["medal-", "start-list-", "finals-by-age-group-", "results-", "cships-", "notes-"])), (F.col("page_id") % 6).cast("int"))
-    name = F.concat(first, F.element_at(F.split("url", "/"), -1))
+    """Categories of documents named by the first link of each page, with the year and slug of the URL."""
+    word = F.lower(F.regexp_extract("html", r'href="/([^"]*)"', 1))
+    name = F.coalesce(*[F.when(word.startswith(c), F.concat(F.lit(p), word)) for c, p in NAMED], word)
     return load(spark, sf_dir, "pages").select("page_id", d.category(name).alias("category"), d.year(F.col("url")).alias("year"), d.slug(F.col("url")).alias("slug"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, text): sheets of two events with their own layouts and standards, the first of them continued on a second page."""
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = rows.withColumn("part", F.col("l_linenumber") % 3)
+    result = F.format_string("%d P%d, Swimmer 14 Club S%d of Town 1:05.00 1:04.%02d", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey") % 100)
+    heads = [
+        "Event 7 Men 13-14 100 LC Meter Butterfly\n1:20.00 13-14 MTS MTS\nName Age Team Seed Time Prelim Time\nPreliminaries\n", "Event 8 Women 18 & Over 200 SC Meter IM B - Final\nName Age Team Prelim Time Finals Time\n",
+        "(Event 7 Men 13-14 100 LC Meter Butterfly)\n",
+    ]
+    inside = [F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == (i + 1) % 3, F.struct("l_linenumber", result.alias("t"))))), lambda x: x["t"]), "\n"), F.lit("")) for i in range(3)]
+    sheets = rows.groupBy("l_orderkey").agg(*[x.alias(f"p{i}") for i, x in enumerate(inside)])
+    head = F.format_string("Club HY-TEK's MEET MANAGER 8.0 Page 1\nMeet %d - 1/3/2026 to 2/3/2026\nResults - Day 2 Session 1\n", "l_orderkey")
+    first = F.concat(head, *[x for i in range(2) for x in (F.lit(heads[i]), F.col(f"p{i}"), F.lit("\n"))])
+    second = F.concat(F.lit("Club HY-TEK's MEET MANAGER 8.0 Page 2\nResults - Day 3 Session 2\n"), F.lit(heads[2]), F.col("p2"))
+    pages = F.posexplode(F.array(first, second)).alias("i", "text")
+    return sheets.select(F.col("l_orderkey").alias("doc_id"), pages).select("doc_id", (F.col("i") + 1).alias("page_no"), "text")
+
+
+@query("""
+SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 2 THEN '8' ELSE '7' END AS event_no, 'P' || l_partkey || ', Swimmer' AS name, l_linenumber AS placement, '1:04.' || lpad((l_partkey % 100)::VARCHAR, 2, '0') AS mark,
+       CASE WHEN l_linenumber % 3 = 1 THEN 'Prelim Time' WHEN l_linenumber % 3 = 2 THEN 'Finals Time' ELSE 'Prelim Time' END AS time_type FROM lineitem
+""")
+def sheet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of sheets with two events and a continuation over the page, each under its event."""
+    rows = sh.read_sheets(blocks(spark, sf_dir)).results
+    return rows.select(F.col("doc_id").alias("l_orderkey"), "event_no", "name", "placement", "mark", "time_type")
+
+
+@query("""
+WITH e(event_no, event_name, gender, age_group, distance, stroke, course, time_standard, time_type) AS (VALUES
+  ('7', 'Men 13-14 100 LC Meter Butterfly', 'Men', '13-14', 100, 'Butterfly', 'LC', '1:20.00', 'Prelim Time'), ('8', 'Women 18 & Over 200 SC Meter IM', 'Women', '18 & Over', 200, 'IM', 'SC', NULL, 'Finals Time'))
+SELECT k AS l_orderkey, 'Meet ' || k AS meet_name, 'Day 3 Session 2' AS session, e.* FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem), e
+""")
+def sheet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the parts of their names, standards and layouts, and what the sheet says of itself."""
+    found = sh.read_sheets(blocks(spark, sf_dir))
+    rows = found.events.join(found.meets, "doc_id")
+    return rows.select(F.col("doc_id").alias("l_orderkey"), "meet_name", "session", "event_no", "event_name", "gender", "age_group", "distance", "stroke", "course", "time_standard", "time_type")
+
+
+@query("""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+t AS (SELECT *, 2 * i * 3000 + l_orderkey % 100 AS cum, 2900 + (l_orderkey + 2 * i) % 100 AS own FROM n),
+w AS (SELECT *, CASE WHEN cum >= 6000 THEN (cum // 6000)::VARCHAR || ':' ELSE '' END || lpad((cum % 6000 // 100)::VARCHAR, 2, '0') || '.' || lpad((cum % 100)::VARCHAR, 2, '0') AS cum_text FROM t)
+SELECT l_orderkey, l_linenumber AS leg_number, 'P' || l_partkey || ', Swimmer' AS name, CASE WHEN i = 1 THEN '0.71' END AS reaction_time,
+       CASE WHEN i = 1 THEN cum_text ELSE (own // 100)::VARCHAR || '.' || lpad((own % 100)::VARCHAR, 2, '0') END AS split_time, 2 AS n_splits, (400 // (2 * n) * 2)::INTEGER AS distance FROM w
+""")
+def sheet_relay_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs of relays with their part of the team's splits, their time and their distances."""
+    from splitboard.functions.marks import mark_text
+
+    legs = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    leg = F.array_join(F.transform("l", lambda x: F.format_string("%d) P%d, Swimmer 14", x["l_linenumber"], x["l_partkey"])), " ")
+    key = F.col("l_orderkey")
+
+    def time(k):
+        cum, own = k * 3000 + key % 100, 2900 + (key + k) % 100
+        return F.concat(mark_text(cum / 100), F.when(k > 1, F.concat(F.lit(" ("), mark_text(own / 100), F.lit(")"))).otherwise(""))
+
+    splits = F.array_join(F.transform(F.sequence(F.lit(1), F.size("l") * 2), time), " ")
+    head = F.lit("Meet - 1/3/2026\nEvent 9 Mixed 13-14 400 LC Meter Freestyle Relay\nTeam Relay Seed Time Finals Time\n1 Team One A NT 3:50.00\n")
+    pages = legs.select(key.alias("doc_id"), F.lit(1).alias("page_no"), F.concat(head, leg, F.lit("\nr:+0.71 "), splits).alias("text"))
+    rows = sh.read_sheets(pages).legs
+    return rows.select(F.col("doc_id").alias("l_orderkey"), "leg_number", "name", "reaction_time", "split_time", F.size("splits").alias("n_splits"), F.element_at("splits", -1)["distance"].alias("distance"))
+
+
+@query("""
+SELECT l_orderkey, 'Spring Meet ' || l_orderkey AS meet_name, 3 AS event_no, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber END AS placement, 'P' || l_partkey || ', Swim' AS name, 'Club S' || l_suppkey || ' Town' AS team,
+       CASE WHEN l_linenumber % 5 <> 0 THEN '1:04.' || lpad((l_partkey % 100)::VARCHAR, 2, '0') END AS mark, l_linenumber % 5 = 0 AS is_dq, CASE WHEN l_linenumber % 5 = 0 THEN CASE WHEN l_partkey % 2 = 0 THEN 'One hand touch' ELSE 'DNS' END END AS dq_reason FROM lineitem
+""")
+def fixed_width_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of the fixed-width kind: results, disqualifications with the reason on the line below, and absences."""
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out, odd = F.col("l_linenumber") % 5 == 0, F.col("l_partkey") % 2 == 1
+    who = F.format_string("P%d, Swim             14 Club S%d Town            1:05.00   ", "l_partkey", "l_suppkey")
+    mark = F.when(out & odd, "DNS").when(out, F.lit("    DQ\n      One hand touch")).otherwise(F.format_string("1:04.%02d", F.col("l_partkey") % 100))
+    line = F.concat(F.lit("  "), F.when(out, "---").otherwise(F.col("l_linenumber").cast("string")), F.lit(" "), who, mark)
+    sheets = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("t")))).alias("l"))
+    head = F.format_string("\n  Spring Meet %d\nEvent 3  Boys 13-14 100 Fly\n===============\nName                    Age Team                 Seed     Finals\n", "l_orderkey")
+    pages = sheets.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.concat(head, F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("text"))
+    meets, results = sh.read_fixed_width(pages)
+    return results.join(meets, "doc_id").select(F.col("doc_id").alias("l_orderkey"), "meet_name", "event_no", "placement", "name", "team", "mark", "is_dq", "dq_reason")
