@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def normalized(discovered: DataFrame, index_url: str) -> tuple[DataFrame, DataFr
     )
     counts = histogram(documents, ["event_url"], "category", "category_counts").withColumnRenamed("event_url", "url")
     sizes = documents.groupBy(F.col("event_url").alias("url")).agg(F.count("*").cast("int").alias("pdf_count"), F.count_if(F.col("category") == "overall_results").cast("int").alias("result_pdf_count"))
-    events = events.join(counts, "url", "left").join(sizes, "url", "left")
+    events = events.join(counts.hint("merge"), "url", "left").join(sizes.hint("merge"), "url", "left")  # from a generator: no automatic broadcast
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     return events.withColumns({"category_counts": F.coalesce("category_counts", none), "pdf_count": F.coalesce("pdf_count", F.lit(0)), "result_pdf_count": F.coalesce("result_pdf_count", F.lit(0))}), documents
 
@@ -74,7 +75,7 @@ def refresh(events: DataFrame, documents: DataFrame, found_events: DataFrame, fo
     doc = documents.select(*[F.col(c).alias(f"o_{c}") for c in ("event_url", "url", "filename", "category", "is_currently_listed", "first_seen_at", "last_seen_at", "last_checked_at")])
     scope = found_events.select(F.col("url").alias("s_url"))
     inside = doc.join(scope, doc["o_event_url"] == scope["s_url"], "left_semi")
-    both = found_documents.join(inside, (found_documents["event_url"] == inside["o_event_url"]) & (found_documents["url"] == inside["o_url"]), "full_outer")
+    both = found_documents.hint("merge").join(inside, (found_documents["event_url"] == inside["o_event_url"]) & (found_documents["url"] == inside["o_url"]), "full_outer")
     new, gone = F.col("o_url").isNull(), F.col("url").isNull()
     differs = ~F.col("filename").eqNullSafe(F.col("o_filename")) | ~F.col("category").eqNullSafe(F.col("o_category"))
     kind = F.when(new, "added").when(gone, F.when(F.col("o_is_currently_listed"), "updated").otherwise("gone")).when(differs | ~F.col("o_is_currently_listed"), "updated").otherwise("unchanged")
@@ -90,7 +91,7 @@ def refresh(events: DataFrame, documents: DataFrame, found_events: DataFrame, fo
     changed_docs = docs_after.where(F.col("change_type").isin("added", "updated")).select(F.col("event_url").alias("c_url")).distinct()
     fields = [*COMPARED, "url", "source_year", "source_date_label", "status_reason", "is_currently_listed", "first_seen_at", "last_seen_in_index_at", "last_checked_at", "last_changed_at"]
     old = events.select(*[F.col(c).alias(f"o_{c}") for c in fields])
-    both = found_events.join(old, found_events["url"] == old["o_url"], "full_outer").join(changed_docs, F.col("url") == F.col("c_url"), "left")
+    both = found_events.hint("merge").join(old, found_events["url"] == old["o_url"], "full_outer").join(changed_docs.hint("merge"), F.col("url") == F.col("c_url"), "left")
     differs = ~F.col("o_is_currently_listed")
     for c in COMPARED:
         differs = differs | ~comparable(F.col(c), c).eqNullSafe(comparable(F.col(f"o_{c}"), c))
@@ -130,11 +131,14 @@ def run_discovery(rule: DataFrame, events: DataFrame, documents: DataFrame, disc
 
 
 def audited(spark, rule_id: int, run_id: int, snapshot: str, started: Column, finished: Column, work) -> tuple[Refresh | None, DataFrame]:
-    """work() and the audit row of its run: succeeded with counters and summary, or failed with the message."""
+    """work() and the audit row of its run: succeeded with counters and summary, or failed with the message of a refusal or of an error of the source.
+
+    Other errors are the program's own and are raised.
+    """
     base = [F.lit(run_id).cast("long").alias("run_id"), F.lit(rule_id).cast("long").alias("rule_id"), F.lit(snapshot).alias("rule_config_snapshot"), started.alias("started_at"), finished.alias("finished_at")]
     try:
         found = work()
-    except Exception as error:
+    except (RefusedRun, PySparkException, OSError) as error:
         message = f"{type(error).__name__}: {error}"
         return None, spark.range(1).select(*base, F.lit("failed").alias("status"), F.lit(message).alias("error_message"))
     summary = F.to_json(F.struct(*sorted(found.counters.columns)))

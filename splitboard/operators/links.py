@@ -72,12 +72,25 @@ def inspect(pages: DataFrame, keys: list[str]) -> DataFrame:
     links = document_links(pages, keys)
     counts = histogram(links, keys, "category", "category_counts")
     listed = links.groupBy(*keys).agg(F.count("*").alias("pdf_count"), F.array_sort(F.collect_list(F.struct("pos", "url", "filename", "category"))).alias("pdfs"))
-    rows = pages.join(counts, keys, "left").join(listed, keys, "left")
+    # Links come from a generator: no automatic broadcast.
+    rows = pages.join(counts.hint("merge"), keys, "left").join(listed.hint("merge"), keys, "left")
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     status = F.when(error.isNotNull() | F.col("html").isNull(), F.concat(F.lit("error:"), F.coalesce(error, F.lit("unread")))).otherwise(readiness(F.col("category_counts"), F.col("html")))
     return rows.select(*keys, "page_url", d.page_title(F.col("html")).alias("page_title"), status.alias("status"), F.coalesce("pdf_count", F.lit(0)).alias("pdf_count"), "category_counts", "pdfs")
 
 
+def discovery_report(index_pages: DataFrame, details: DataFrame) -> DataFrame:
+    """Events of index pages (index_id, page_url, html) with what their own pages (url, html, error) offer: one row per event.
+
+    A page that is not among the details or could not be read is an ``error:`` row. Counts by status: ``sources.documents.report_header``.
+    """
+    keys = ["index_id", "event_url"]
+    events = event_links(index_pages, ["index_id"]).select("index_id", F.col("url").alias("event_url"), "pos", "title")
+    read = events.hint("merge").join(details.withColumnRenamed("url", "event_url"), "event_url", "left").withColumn("page_url", F.col("event_url"))
+    found = inspect(read.select(*keys, "page_url", "html", "error"), keys)
+    return events.hint("merge").join(found, keys).select(*keys, "pos", "title", "page_title", "status", "pdf_count", "category_counts", "pdfs")
+
+
 def archive_selection(discovered: DataFrame, selectors: list[str], statuses: list[str], limit: int | None = None) -> DataFrame:
     """Discovered events (ord, title, page_title, url, status) to archive, with their folder; empty selectors take all."""
     from splitboard.operators.filters import selected

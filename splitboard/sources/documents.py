@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitboard.sources.schemas import MANIFEST
+from splitboard.sources.schemas import DISCOVERY, MANIFEST
 
 
 def document_set(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
@@ -21,17 +21,20 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return read.select("source_page", F.posexplode("files").alias("ord", "file")).select("source_page", "ord", "file.*")
 
 
-def report(rows: DataFrame, status: str, title: str) -> DataFrame:
-    """One row: a title, counts by status and all rows nested, for a JSON file that people read.
-
-    A report holds the rows of one manifest or one run; larger tables are written as they are.
-    """
+def report_header(rows: DataFrame, status: str, title: str) -> DataFrame:
+    """One row: a title, the number of rows and the counts by status."""
     counts = rows.groupBy(status).agg(F.count("*").alias("n"))
-    counted = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("counts"))
-    nested = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("items"))
-    one = F.lit(1).alias("one")
-    return counted.select("*", one).join(nested.select("*", one), "one").select(F.lit(title).alias("title"), "counts", "items")
+    entries = F.array_sort(F.collect_list(F.struct(status, "n")))
+    return counts.agg(F.lit(title).alias("title"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.map_from_entries(entries).alias("counts"))
 
 
 def write_report(rows: DataFrame, status: str, title: str, path: str) -> None:
-    report(rows, status, title).coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON: its header in one file under header, its rows, a line each, under rows."""
+    report_header(rows, status, title).coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    rows.write.mode("overwrite").json(f"{path}/rows")
+
+
+def discovered_events(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, title, url, page_title, status, pdf_count, pdfs) of discovery files, one row per event."""
+    read = spark.read.schema(DISCOVERY).option("multiLine", "true").json(path)
+    return read.select(F.posexplode("events").alias("ord", "event")).select("ord", "event.*")

@@ -1,6 +1,6 @@
 import json
 
-from splitboard.sources.documents import document_set, manifest, write_report
+from splitboard.sources.documents import discovered_events, document_set, manifest, write_report
 
 
 def test_document_set(spark, tmp_path):
@@ -22,5 +22,12 @@ def test_two_generations_of_manifests(spark, tmp_path):
 def test_report(spark, tmp_path):
     rows = spark.createDataFrame([(0, "ok", "a"), (1, "ok", "b"), (2, "error", "c")], "ord int, status string, url string")
     write_report(rows, "status", "run", f"{tmp_path}/report")
-    read = spark.read.json(f"{tmp_path}/report").first()
-    assert read.title == "run" and read.counts.asDict() == {"error": 1, "ok": 2} and [x.url for x in read["items"]] == ["a", "b", "c"]
+    read = spark.read.json(f"{tmp_path}/report/header").first()
+    assert (read.title, read.total) == ("run", 3) and read.counts.asDict() == {"error": 1, "ok": 2}
+    assert sorted(r.url for r in spark.read.json(f"{tmp_path}/report/rows").collect()) == ["a", "b", "c"]
+
+
+def test_discovery_file(spark, tmp_path):
+    (tmp_path / "found.json").write_text(json.dumps({"events": [{"title": "T", "url": "u", "status": "results_available", "pdf_count": 1, "pdfs": [{"url": "v", "filename": "f", "category": "c"}]}, {"title": "S", "url": "w"}]}, indent=1))
+    rows = discovered_events(spark, f"{tmp_path}/found.json").orderBy("ord").collect()
+    assert [(r.ord, r.title, r.pdf_count) for r in rows] == [(0, "T", 1), (1, "S", None)] and rows[0].pdfs[0].filename == "f"
