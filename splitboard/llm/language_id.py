@@ -5,8 +5,9 @@ largest filter less one, so each place of each filter lies in exactly one window
 is read. Filters of 2, 3 and 4 bytes, max pooling over a window, ReLU and softmax give a window's
 probabilities; a text's are their mean, weighted by the windows' bytes.
 
-Training uses a bounded sample: the SAMPLE_DOCS labelled documents with the smallest hash of their id,
-SAMPLE_WINDOWS windows of each. It runs in numpy on the driver; the sample and the model (some ten thousand
+The languages are all those that labelled rows have. Training uses a bounded sample: of each language the labelled documents
+with the smallest hash of their id, an equal share of SAMPLE_DOCS but LEAST_PER_LANG at least and MOST_PER_LANG at
+most, so rare languages are learned and a hot source is no more than its share; SAMPLE_WINDOWS windows of each. It runs in numpy on the driver; the sample and the model (some ten thousand
 numbers) are the only things there. Prediction is one pass over the table, without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from splitboard.llm.text import fresh, smallest
+from splitboard.llm.text import fresh
 from splitboard.sources import load
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,7 +35,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
 PLACES = WINDOW - max(WIDTHS) + 1
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS, LEAST_PER_LANG, MOST_PER_LANG = 2000, 50, 1000
 SAMPLE_WINDOWS = 4
 EPOCHS = 8
 UNKNOWN = "und"
@@ -118,13 +119,19 @@ def id_remainder() -> Column:
 def learn(docs: DataFrame, trains: Column) -> tuple[list[str], dict[str, np.ndarray] | None]:
     """The languages and the model, from the labelled rows of docs (doc_id, text, lang) that train."""
     key = F.xxhash64("doc_id")
-    labelled = docs.where(trains & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = docs.where(trains & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     step = F.length("text") / SAMPLE_WINDOWS
     cuts = F.array(*[F.substring("text", (F.lit(1) + F.floor(step * k)).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)])
-    rows = smallest(labelled.select("doc_id", "lang", cuts.alias("cuts")), key, SAMPLE_DOCS, "lang", "cuts").collect()
-    if not rows:
+    keyed = labelled.select("lang", key.alias("key"))
+    langs = sorted(r.lang for r in keyed.select("lang").distinct().collect())
+    if not langs:
         return [], None
-    langs = sorted({r.lang for r in rows})
+    # The smallest hashes of each language; ranks are limited, so tasks send that many keys of each at most.
+    most = min(MOST_PER_LANG, max(LEAST_PER_LANG, SAMPLE_DOCS // len(langs)))
+    ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= most)
+    last = ranked.groupBy("lang").agg(F.max("key").alias("last"))  # a row for each language
+    drawn = labelled.select("lang", key.alias("key"), cuts.alias("cuts")).join(F.broadcast(last), "lang").where("key <= last")
+    rows = sorted(drawn.groupBy("lang", "key").agg(F.min("cuts").alias("cuts")).collect())
     found = [(windows_of(c)[0], langs.index(r.lang)) for r in rows for c in r.cuts if c]
     return langs, train(np.array([w for w, _ in found]), np.array([y for _, y in found]), len(langs))
 
