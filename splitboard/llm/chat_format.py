@@ -12,8 +12,12 @@ The template writes ``<|im_start|>role\ntext<|im_end|>\n``. Inside roles and tex
 backslash is doubled, and a backslash goes after the first character of each control string
 (and before a line feed of a role). Dropping the backslash of each pair gives the text back.
 
-A conversation is never gathered whole; windows over (conv_id) stream and spill, and only the
-turns of one window meet in a row.
+Tokens: turns may bring their own counts in a column (``counts``); without one they are estimated by bytes, a
+quarter rounded up, which is too low for text such as base64 or rare scripts. With ``counts`` of an upper bound, such as
+the bytes, no window exceeds the budget by any tokenizer.
+
+The windows over (conv_id) need a conversation's turns in order in one task, where they stream and spill; only the turns of one
+window meet in a row. The query's digests of whole conversations, which read them back, do gather each.
 
 Defined cases: null texts and roles are empty; a null conv_id is a conversation of its own;
 turns with equal numbers are ordered by role and text, null numbers first; repeated rows
@@ -51,18 +55,19 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Estimate of a formatted turn's tokens: a quarter of its bytes, rounded up."""
+    """Estimate of a formatted turn's tokens: a quarter of its bytes, rounded up; what is assumed where turns bring no counts."""
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def windows_of(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window of the conversations in turns (conv_id, turn, role, text).
+def windows_of(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, counts: str | None = None) -> DataFrame:
+    """One row per window of the conversations in turns (conv_id, turn, role, text, and counts, the tokens of each formatted turn; null: estimated).
 
     Columns: conv_id, window, text (formatted), n_tokens, context_turns (leading turns that
     repeat earlier ones) and loss, the spans (start, length) of text that bear loss, in code points.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    given = F.col(counts).cast("long") if counts else F.lit(None).cast("long")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), given.alias("given"))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
@@ -72,9 +77,10 @@ def windows_of(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -
         "role",
         F.length(head).alias("lead"),
         F.length(body).alias("body"),
+        "given",
         F.concat(head, body, F.lit(f"{END}\n")).alias("piece"),
     )
-    made = made.withColumn("cost", tokens(F.col("piece"))).withColumn("is_system", (F.col("nth") == 1) & (F.col("role") == "system"))
+    made = made.withColumn("cost", F.coalesce("given", tokens(F.col("piece")))).withColumn("is_system", (F.col("nth") == 1) & (F.col("role") == "system"))
     conv = Window.partitionBy("conv_id")
     own_cost = F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("cost"))
     running = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -49,3 +49,12 @@ def test_hostile_and_odd_turns(spark):
 
 def test_tokens_estimate(spark):
     assert spark.range(1).select(tokens(F.lit("abcde"))).first()[0] == 2
+
+
+def test_counts_that_turns_bring(spark):
+    """With the turns' own counts no window exceeds the budget by them; a null count is estimated."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i} " * 10, 30 if i != 3 else None) for i in range(20)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    made = windows_of(turns, budget=200, history=40, counts="n").collect()
+    assert max(r.n_tokens for r in made) <= 200 and len(made) >= 5
+    assert sum(len(r.loss) for r in made) == 10
