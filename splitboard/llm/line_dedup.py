@@ -1,6 +1,6 @@
 """Line dedup: which lines of each document repeat lines of other documents.
 
-Only DataFrame operations. Lines travel as 128-bit hashes, never as text:
+Only DataFrame operations. The search sends lines as 128-bit hashes, never as text:
 
 1. each document gives its distinct long keys as (hash, document, positions);
 2. these are range-partitioned by (hash, slice) with a secondary sort by document,
@@ -10,7 +10,8 @@ Only DataFrame operations. Lines travel as 128-bit hashes, never as text:
 3. each (hash, slice) sends one row on; their sums show the keys with at least
    ``min_docs`` documents and the last document of each, which keeps its lines;
 4. those keys go back to the other occurrences, and each document with losses gets
-   its keep bitmap, coded as runs of dropped lines.
+   its keep bitmap, coded as runs of dropped lines. ``keep_bitmaps`` returns these alone, without any text;
+   ``with_bitmaps`` joins them to the documents, for callers that want the remaining text, and that join sends the rows.
 
 Defined cases: null or empty text is one empty line; rows without a doc_id lose
 nothing and make no key common; rows that share a doc_id count as one document,
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from splitboard.llm.text import ASCII_SPACE, let, lower_ascii
+from splitboard.llm.text import ASCII_SPACE, fresh, let, lower_ascii
 from splitboard.sources import load, stage
 
 MIN_CHARS = 20
@@ -117,9 +118,10 @@ def kept_text(text: Column, dropped: Column) -> Column:
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, name: str = "dropped") -> DataFrame:
     """docs with one more column, the bitmap; null where a document keeps all lines."""
     bitmaps = keep_bitmaps(docs, min_chars, min_docs)
-    bitmaps = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), F.col("dropped").alias(name))
-    same = (docs["doc_id"] == bitmaps["__doc"]) & (text_id(docs["text"]) == bitmaps["__text"])
-    return docs.join(bitmaps.hint("shuffle_hash"), same, "left").drop("__doc", "__text")
+    own_doc, own_text = fresh(docs, "own_doc"), fresh(docs, "own_text")
+    bitmaps = bitmaps.select(F.col("doc_id").alias(own_doc), F.col("text_id").alias(own_text), F.col("dropped").alias(name))
+    same = (docs["doc_id"] == bitmaps[own_doc]) & (text_id(docs["text"]) == bitmaps[own_text])
+    return docs.join(bitmaps.hint("shuffle_hash"), same, "left").drop(own_doc, own_text)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
