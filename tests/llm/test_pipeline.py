@@ -31,6 +31,19 @@ def test_empty_and_odd_documents(spark, sf_small):
         corpus_pipeline.STAGES[-1][1](spark, some, sf_small).collect()
 
 
+def test_clashing_columns(spark, sf_small):
+    """Columns that stages use inside do no harm, and only those of documents come back."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    for name in ("lang_pred", "score", "dropped", "own_doc", "text_id", "code", "root", "w_doc", "c_doc", "h1"):
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    rows = docs.collect()
+    docs = spark.createDataFrame(rows, docs.schema)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, docs, sf_small).columns == corpus_pipeline.COLUMNS, name
+        assert 0 < step(spark, docs, sf_small).count() <= len(rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).count() >= len(rows)
+
+
 def test_near_copies(spark):
     """Exact and near copies leave one; texts that share half their words stay; the smallest doc_id is kept."""
     words = [f"w{i * 7919 % 1009}x{i}" for i in range(400)]
