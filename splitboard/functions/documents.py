@@ -94,8 +94,20 @@ def percent_coded(path: Column, keep: str = "/:@") -> Column:
     return coded
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute URL whose path has no ``.`` and ``..`` segments; more ``..`` than folders lead to the root."""
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)([\s\S]*)$"
+    segments = F.split(F.regexp_extract(url, pattern, 2), "/", -1)
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda kept, s: F.when(s == "..", up(kept)).when(s == ".", kept).otherwise(F.array_append(kept, s)))
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    path = F.concat(F.array_join(kept, "/"), folder)
+    dotted = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*/\.\.?(?:[/?#]|$)")
+    return F.when(dotted, F.concat(F.regexp_extract(url, pattern, 1), path, F.regexp_extract(url, pattern, 3))).otherwise(url)
+
+
 def resolved(url: Column, base: Column) -> Column:
-    """An absolute URL from an absolute one, ``//host``, ``/path``, ``path`` or nothing. ``..`` is left as it is."""
+    """An absolute URL from an absolute one, ``//host``, ``/path``, ``path`` (both may climb with ``..``) or nothing."""
     scheme, host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/(?:[^?#/]*/)*)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
@@ -103,8 +115,8 @@ def resolved(url: Column, base: Column) -> Column:
         F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | base.isNull() | (base == ""), url)
         .when(url == "", base)
         .when(url.startswith("//"), F.concat(scheme, F.lit(":"), url))
-        .when(url.startswith("/"), F.concat(host, url))
-        .otherwise(F.concat(folder, url))
+        .when(url.startswith("/"), without_dots(F.concat(host, url)))
+        .otherwise(without_dots(F.concat(folder, url)))
     )
 
 

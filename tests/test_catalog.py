@@ -132,3 +132,12 @@ def test_lists(spark):
     assert c.catalog_totals(sites, rules, events, docs).first().result_ready == 1
     picked = links.archive_selection(spark.createDataFrame([(0, "56th SNAG!", None, "u", "x"), (1, "", None, "v", "x")], "ord int, title string, page_title string, url string, status string"), [], ["x"])
     assert [r.target for r in picked.collect()] == ["56th-snag", "event"]
+
+
+def test_relative_urls_climb(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a/b/c/d", "http://a", "http://a/b/", "https://h.example/x/y.html?q=../z"]
+    links = ["../g", "../../g", "../../../g", "./g", "g/./h", "g/../h", "/x/../y", "..", ".", "../", "g/..", "/..", "g?x=../y", "g#s/../t", "g", "/p/q", "//h/..", "http://k/../m"]
+    rows = spark.createDataFrame([(b, x, urljoin(b, x)) for b in bases for x in links], "base string, link string, want string")
+    assert rows.select("*", d.resolved(F.col("link"), F.col("base")).alias("got")).where("NOT got <=> want").collect() == []
