@@ -6,7 +6,7 @@ one shingle of all of them). The containment of an item Q in a document X is |Q
 Size partitions: items are partitioned by the power of two p below their number of shingles. Each partition has its own
 MinHash sketch, the m = min(p, SKETCH) shingles smallest under a second hash, and its own bound of hits. Since the
 sketch is a subset of Q and a document's shingles are all probed, sketches need not shrink the long side. In a
-partition with p < SKETCH items have at most u = 2p - 1 shingles, of which one contained to the degree t lacks at
+partition with p <= SKETCH items have at most u = 2p - 1 shingles, of which one contained to the degree t lacks at
 most (1 - t)u, so m - (1 - t)u hits are sure: the search misses none there. In those above the hits are a
 draw with mean tm, and the bound lies DEVIATIONS standard deviations below it. A document with fewer than tn shingles is
 left out by its size.
@@ -72,7 +72,7 @@ def item_shingles(benchmark: DataFrame, threshold: float) -> DataFrame:
     partition = F.pow(F.lit(2), F.floor(F.log2("n") + 1e-9)).cast("int")
     drawn = threshold * SKETCH - DEVIATIONS * (threshold * (1 - threshold) * SKETCH) ** 0.5
     sure = partition - F.floor((1 - threshold) * (2 * partition - 1) + 1e-9)
-    flat = flat.withColumns({"n_sketch": F.least(partition, F.lit(SKETCH)), "needed_hits": F.greatest(F.when(partition < SKETCH, sure).otherwise(int(drawn)), F.lit(1))})
+    flat = flat.withColumns({"n_sketch": F.least(partition, F.lit(SKETCH)), "needed_hits": F.greatest(F.when(partition <= SKETCH, sure).otherwise(int(drawn)), F.lit(1))})
     smallest_first = Window.partitionBy("item").orderBy(F.xxhash64(F.lit(7), "hash"), "hash")
     return flat.withColumn("in_sketch", F.row_number().over(smallest_first) <= F.col("n_sketch"))
 
