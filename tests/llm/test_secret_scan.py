@@ -1,3 +1,4 @@
+import hashlib
 import os
 import re
 import subprocess
@@ -5,7 +6,6 @@ import sys
 import zlib
 from collections import defaultdict
 
-import hashlib
 import numpy as np
 import pytest
 
