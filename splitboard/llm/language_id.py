@@ -122,16 +122,17 @@ def learn(docs: DataFrame, trains: Column) -> tuple[list[str], dict[str, np.ndar
     labelled = docs.where(trains & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     step = F.length("text") / SAMPLE_WINDOWS
     cuts = F.array(*[F.substring("text", (F.lit(1) + F.floor(step * k)).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)])
-    keyed = labelled.select("lang", key.alias("key"))
-    langs = sorted(r.lang for r in keyed.select("lang").distinct().collect())
-    if not langs:
+    counted = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counted:
         return [], None
-    # The smallest hashes of each language; ranks are limited, so tasks send that many keys of each at most.
+    langs = sorted(counted)
     most = min(MOST_PER_LANG, max(LEAST_PER_LANG, SAMPLE_DOCS // len(langs)))
-    ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= most)
-    last = ranked.groupBy("lang").agg(F.max("key").alias("last"))  # a row for each language
-    drawn = labelled.select("lang", key.alias("key"), cuts.alias("cuts")).join(F.broadcast(last), "lang").where("key <= last")
-    rows = sorted(drawn.groupBy("lang", "key").agg(F.min("cuts").alias("cuts")).collect())
+    # Hashes are even, so the part of their range that four times as many fall into holds the smallest ones of a language; only those are ranked.
+    bounds = [(lang, min(2**63 - 1, int(-(2**63) + 2**64 * min(1, 4 * most / n)))) for lang, n in counted.items()]
+    bounded = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    drawn = labelled.select("lang", key.alias("key"), cuts.alias("cuts")).join(bounded, "lang").where("key <= bound").groupBy("lang", "key").agg(F.min("cuts").alias("cuts"))
+    ranked = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= most)
+    rows = sorted(ranked.select("lang", "key", "cuts").collect())
     found = [(windows_of(c)[0], langs.index(r.lang)) for r in rows for c in r.cuts if c]
     return langs, train(np.array([w for w, _ in found]), np.array([y for _, y in found]), len(langs))
 
