@@ -12,7 +12,7 @@ import pytest
 from splitboard.llm import secret_scan as s
 from splitboard.llm.secret_findings import labelled_findings
 
-#: Usual cases, none of them drawn by the rules that draw the labelled findings.
+#: Usual cases, written by hand.
 TRUE = [
     "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9pLmA2sD", '{"password": "hunter2abcd"}', '{"api_key": "a1b2c3d4e5f6"}', "DB_PASSWORD=hunter2abcd", 'client_secret: "9fk2Lq7Z11"',
     'password = "P@ssw0rd!2024"', "postgres://app:s3cretpw99@db/x", "stripe sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc", "key=AIzaSyA" + "1bC2dE3fG4hI5jK6lM7nO8pQ9rS0tU1vW",
