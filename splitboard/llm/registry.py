@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitboard.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, packing, secret_scan, simhash_dedup, url_filter
+from splitboard.llm import chat_format, collocations, decontaminate, embedding_dedup, exact_dedup, filter_audit, language_id, license_scan, line_dedup, packing, secret_scan, simhash_dedup, url_filter
 
 QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op6_packing": packing.op6_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op7_chat_format": chat_format.op7_sql(),
     "op10_license_scan": license_scan.op10_sql(),
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
