@@ -64,10 +64,19 @@ def histogram(df: DataFrame, keys: list[str], value: str, name: str) -> DataFram
 
 
 def head_and_tail(df: DataFrame, keys: list[str], order: list[str], head: int = 10, tail: int = 3) -> DataFrame:
-    """All rows of a key with at most head + tail rows, else the first head and the last tail."""
-    ahead = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.select("*", F.row_number().over(ahead).alias("__at"), F.count("*").over(Window.partitionBy(*keys)).alias("__n"))
-    return numbered.where((F.col("__n") <= head + tail) | (F.col("__at") <= head) | (F.col("__at") > F.col("__n") - tail)).drop("__at", "__n")
+    """All rows of a key with at most head + tail rows, else the first head and the last tail.
+
+    Both ends are limited ranks, so a task sends no more than head + tail rows of a key on, however many it has; the counts that tell
+    whether the ends overlap are a partial aggregate. Equal orders are told apart by a hash of the row.
+    """
+    whole = F.xxhash64(*df.columns)
+    ahead, back = [F.asc(c) for c in order] + [whole.asc()], [F.desc(c) for c in order] + [whole.desc()]
+    first = top_per_key(df, keys, ahead, head, "__at").drop("__at")
+    counts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
+    last = top_per_key(df, keys, back, tail, "__at")
+    same = [last[k].eqNullSafe(counts[f"__{k}"]) for k in keys]
+    behind = last.join(counts.hint("shuffle_hash"), same).where(F.col("__n") - F.col("__at") >= head)
+    return first.unionByName(behind.select(*df.columns))
 
 
 def nested(children: DataFrame, key: str, fields: list[str | Column], name: str) -> DataFrame:

@@ -44,3 +44,17 @@ def selected(df: DataFrame, columns: list[str], selectors: list[str], status: st
 def valid_marks(df: DataFrame, is_dq: str, seconds: str) -> DataFrame:
     """Rows with a readable mark that were not disqualified."""
     return df.where(~F.coalesce(F.col(is_dq), F.lit(False)) & F.col(seconds).isNotNull())
+
+
+def might_be_in(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose columns may be in keys, decided by a bit map of the keys' hashes that is broadcast; none that is in keys is lost.
+
+    The map has 16 bits a key, and 2^26 at most whatever the number of keys: beyond 4 million it lets more of the other rows pass.
+    """
+    words = 1 << min(20, max(8, (keys.count() // 4).bit_length()))
+    place = F.xxhash64(F.lit(11), *columns)
+    word = F.pmod(place, F.lit(words))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(place, 40).bitwiseAND(F.lit(63)).cast("int"))
+    full = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = rows.withColumn("__word", word).join(F.broadcast(full), "__word")
+    return held.where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")

@@ -1,10 +1,10 @@
 """Result sheets as tables: page texts become events, results, relays, legs, splits and a quality report.
 
 A sheet is read line by line, and what a line means depends on the lines before it. That memory is
-written as windows over (doc_id) in line order: the last value seen, running counts, first of a kind. Lines
-are first sorted into kinds without memory, then the windows add it, then the kinds are settled. Documents
-are independent, so the work is dealt by document; one shuffle serves all windows. The settled lines
-are written once and read by every output.
+written as windows in line order: the last value seen, running counts, first of a kind. The few lines that
+change the memory (names of meets and events, layouts, standards) are taken out first and settled among themselves; then
+they are put back among all lines, which are shuffled by document and sorted once, however many windows carry the memory on.
+The settled lines are written once and read by every output.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitboard.functions.marks import NO_SHOWS, clean_event_name, event_parts, strip
+from splitboard.operators.analytics import top_per_key
 from splitboard.sources import stage
 
 #: The line formats of the sheets.
@@ -43,80 +44,124 @@ def group(line: Column, pattern: str, n: int) -> Column:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(doc_id, at, line): the stripped lines that are not blank, numbered over the pages; null pages have none."""
+    """(doc_id, at, line): the stripped lines that are not blank, in the order of at over the pages; null pages have none."""
     rows = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "page_no", "line_no", strip(F.col("raw")).alias("line")).where("line <> ''")
-    return rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "line_no"))).drop("page_no", "line_no")
+    at = F.shiftleft(F.coalesce("page_no", F.lit(0)).cast("long"), 32) + F.col("line_no")
+    return rows.select("doc_id", at.alias("at"), strip(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def groups_of(line: Column, pattern: str, n: int) -> Column:
-    """All n groups of a pattern that begins with ^, in one match; null where it does not match."""
-    mark = "\x01"
-    joined = F.regexp_replace(line, rf"(?s){pattern}.*$", mark + mark.join(f"${i}" for i in range(1, n + 1)))
-    return F.when(joined.startswith(mark), F.slice(F.split(joined, mark, -1), 2, n))
+MARK = "\x01"
 
 
-def matched(lines: DataFrame) -> DataFrame:
-    """lines with what each matches by itself, found once: res and rel (groups of an individual and a relay result), has_leg, coded, is_splits."""
-    line = F.col("line")
-    found = lines.select("*", groups_of(line, RESULT, 7).alias("res"), groups_of(line, RELAY_RESULT, 5).alias("rel"), line.rlike(RELAY_LEG).alias("has_leg"), line.rlike(DQ_CODE).alias("coded"))
-    # A reaction time, or times with differences in brackets, that is no other line.
-    times = line.rlike(r"^\d{1,2}[.:]\d{2}|^\d+:\d{2}\.\d{2}\s") & line.contains("(")
-    return found.withColumn("is_splits", line.startswith("r:") | (times & ~F.col("coded") & F.col("res").isNull()))
+def marked_groups(line: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that begins with ^, each after a mark, in one match; null where it does not match."""
+    joined = F.regexp_replace(line, rf"(?s){pattern}.*$", MARK + MARK.join(f"${i}" for i in range(1, n + 1)))
+    return F.when(joined.startswith(MARK), joined)
 
 
-def classify(lines: DataFrame) -> DataFrame:
-    """lines with kind and the memory that the outputs need."""
+def unmarked(groups: Column, n: int) -> Column:
+    return F.slice(F.split(groups, MARK, -1), 2, n)
+
+
+def header_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, at, head, named, meet_like, opens, event_key, block, kind, in_relay, time_type) of the lines that change what later lines mean.
+
+    They are few, so the windows over documents, names and events, each in an order of its own, sort little.
+    """
     line = F.col("line")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
-
-    is_page = line.rlike(PAGE_HEADER)
-    meet_like = line.rlike(MEET_HEADER)
-    rows = matched(lines).withColumn("meet_like", meet_like & ~is_page)
-    first_meet = F.col("meet_like") & (F.coalesce(F.sum(F.col("meet_like").cast("int")).over(before), F.lit(0)) == 0)
-    head = F.when(is_page, "page").when(first_meet, "meet").when(line.rlike(SESSION), "session").when(line.rlike(EVENT_HEADER), "event").when(line.rlike(CONTINUATION), "continuation")
-    rows = rows.withColumn("head", head)
-
-    named = F.when(F.col("head") == "event", F.concat_ws("-", group(line, EVENT_HEADER, 1), clean_event_name(F.regexp_extract(line, EVENT_HEADER, 2))))
-    named = named.when(F.col("head") == "continuation", F.concat_ws("-", group(line, CONTINUATION, 1), strip(F.regexp_extract(line, CONTINUATION, 2))))
+    meet_like = line.contains("/") & line.rlike(MEET_HEADER)
+    event, again = line.rlike(EVENT_HEADER), line.rlike(CONTINUATION)
+    layout = F.when(line.rlike(COLUMN_HEADER), "columns").when(line.rlike(RELAY_HEADER), "relay_columns")
+    rows = lines.where(~line.rlike(PAGE_HEADER)).select(
+        "doc_id", "at", "line", meet_like.alias("meet_like"), event.alias("event"), again.alias("again"), layout.alias("layout"), line.rlike(STANDARD).alias("standard")
+    )
+    rows = rows.where("meet_like OR event OR again OR layout IS NOT NULL OR standard")
+
+    order = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first_meet = F.col("meet_like") & (F.count_if("meet_like").over(order) == 1)
+    head = F.when(F.col("first_meet"), "meet").when(line.rlike(SESSION), "session").when(F.col("event"), "event").when(F.col("again"), "continuation")
+    rows = rows.withColumn("first_meet", first_meet).withColumn("head", head)
+    number = group(line, EVENT_HEADER, 1), group(line, CONTINUATION, 1)
+    name = clean_event_name(F.regexp_extract(line, EVENT_HEADER, 2)), strip(F.regexp_extract(line, CONTINUATION, 2))
+    named = F.when(F.col("head") == "event", F.concat_ws("-", number[0], name[0])).when(F.col("head") == "continuation", F.concat_ws("-", number[1], name[1]))
     rows = rows.withColumn("named", named)
-    seen = F.count_if(F.col("head") == "event").over(Window.partitionBy("doc_id", "named").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def of(*keys: str) -> Window:
+        return Window.partitionBy("doc_id", *keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    seen = F.count_if(F.col("head") == "event").over(of("named"))
     rows = rows.withColumn("opens", F.when(F.col("named").isNotNull() & (seen > 0), F.col("named")))
-    rows = rows.select("*", F.last("opens", ignorenulls=True).over(so_far).alias("event_key"), F.count("named").over(so_far).alias("block"))
+    rows = rows.select("*", F.last("opens", ignorenulls=True).over(of()).alias("event_key"), F.count("named").over(of()).alias("block"))
+    candidate = F.col("head").isNull() & F.col("event_key").isNotNull() & F.col("standard")
+    of_event = of("event_key")
+    first = F.count_if(candidate).over(of_event) == 1
+    rows = rows.withColumn("kind", F.coalesce("head", F.when(candidate & first, "standard"), "layout"))
+    is_layout = F.col("kind").isin("columns", "relay_columns")
+    header = F.when(is_layout, F.when(line.rlike(r"Prelim\s+Time$"), "Prelim Time").otherwise("Finals Time"))
+    rows = rows.withColumn("time_type", F.coalesce(F.last(header, ignorenulls=True).over(of_event), F.lit("Prelim Time")))
+    turns = F.when(F.col("opens").isNotNull(), F.col("opens").contains("Relay")).when(is_layout, F.col("kind") == "relay_columns")
+    rows = rows.withColumn("in_relay", F.coalesce(F.last(turns, ignorenulls=True).over(of()), F.lit(False)))
+    return rows.select("doc_id", "at", "kind", "event_key", "block", "in_relay", "time_type")
 
-    free = F.col("head").isNull()
-    candidate = free & F.col("event_key").isNotNull() & line.rlike(STANDARD)
-    nth = F.sum(candidate.cast("int")).over(Window.partitionBy("doc_id", "event_key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("kind", F.when(~free, F.col("head")).when(candidate & (nth == 1), "standard").when(line.rlike(COLUMN_HEADER), "columns").when(line.rlike(RELAY_HEADER), "relay_columns").when(line.rlike(SECTION), "section"))
 
-    turns = F.when(F.col("opens").isNotNull(), F.col("opens").contains("Relay")).when(F.col("kind") == "columns", False).when(F.col("kind") == "relay_columns", True)
-    header = F.when(F.col("kind").isin("columns", "relay_columns"), F.when(line.rlike(r"Prelim\s+Time$"), "Prelim Time").otherwise("Finals Time"))
-    of_event = Window.partitionBy("doc_id", "event_key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select("*", F.coalesce(F.last(turns, ignorenulls=True).over(so_far), F.lit(False)).alias("in_relay"), F.coalesce(F.last(header, ignorenulls=True).over(of_event), F.lit("Prelim Time")).alias("time_type"))
+def classify(lines: DataFrame) -> DataFrame:
+    """lines with kind and the memory that the outputs need.
 
-    left, has_event = F.col("kind").isNull(), F.col("event_key").isNotNull()
-    relay = left & F.col("in_relay") & has_event & F.col("rel").isNotNull() & ~F.col("has_leg")
-    result = left & ~relay & has_event & F.col("res").isNotNull() & ~F.col("is_splits")
-    rows = rows.select("*", relay.alias("is_relay"), result.alias("is_result"))
-    in_block = Window.partitionBy("doc_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dq = F.get("rel", F.lit(4)) == "DQ", F.get("res", F.lit(5)) == "DQ"
+    What header lines say is put among the lines as rows of their own; everything else is carried in one order, (doc_id, at), so
+    the lines are shuffled once and sorted once. Counts within a block are differences of running counts.
+    """
+    line = F.col("line")
+    said = header_lines(lines)
+    said = said.select("doc_id", "at", F.lit(0).alias("turn"), F.struct("at", "kind", "event_key", "block", "in_relay", "time_type").alias("said"))
+    res, rel = marked_groups(line, RESULT, 7).alias("res"), marked_groups(line, RELAY_RESULT, 5).alias("rel")
+    found = lines.select("doc_id", "at", F.lit(1).alias("turn"), "line", res, rel, line.rlike(RELAY_LEG).alias("legs"), line.rlike(DQ_CODE).alias("coded"))
+    # A reaction time, or times with differences in brackets, that is no other line.
+    times = line.rlike(r"^\d{1,2}[.:]\d{2}|^\d+:\d{2}\.\d{2}\s") & line.contains("(")
+    found = found.withColumn("splits", line.startswith("r:") | (times & ~F.col("coded") & F.col("res").isNull()))
+    both = found.unionByName(said, allowMissingColumns=True)
+
+    order = Window.partitionBy("doc_id").orderBy("at", "turn")  # what a header says comes before its own line
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("s", F.last("said", ignorenulls=True).over(so_far))
+    own = F.when(F.col("s.at") == F.col("at"), F.col("s.kind"))
+    plain = F.when(line.rlike(PAGE_HEADER), "page").when(line.rlike(SESSION), "session").when(line.rlike(SECTION), "section")
     rows = rows.select(
-        "*",
-        F.count_if("is_relay").over(in_block).alias("relay_no"),
-        F.count_if("is_result").over(in_block).alias("result_no"),
-        F.coalesce(F.last(F.when(F.col("is_relay"), dq[0]), ignorenulls=True).over(in_block), F.lit(False)).alias("relay_dq"),
-        F.coalesce(F.last(F.when(F.col("is_result"), dq[1]), ignorenulls=True).over(in_block), F.lit(False)).alias("result_dq"),
-    )
+        "doc_id", "at", "turn", "line", "res", "rel", "legs", "coded", "splits", F.coalesce(own, plain).alias("known"), "s.event_key",
+        F.coalesce("s.block", F.lit(0)).alias("block"), F.coalesce("s.in_relay", F.lit(False)).alias("in_relay"), F.coalesce("s.time_type", F.lit("Prelim Time")).alias("time_type"),
+    )
+
+    left, has_event = F.col("line").isNotNull() & F.col("known").isNull(), F.col("event_key").isNotNull()
+    relay = left & F.col("in_relay") & has_event & F.col("rel").isNotNull() & ~F.col("legs")
+    result = left & ~relay & has_event & F.col("res").isNotNull() & ~F.col("splits")
+    rows = rows.select("*", relay.alias("is_relay"), result.alias("is_result"))
+    dq = {"relay": F.get(unmarked(F.col("rel"), 5), F.lit(4)) == "DQ", "result": F.get(unmarked(F.col("res"), 7), F.lit(5)) == "DQ"}
+    for kind in ("relay", "result"):
+        latest = F.when(F.col(f"is_{kind}"), F.struct("block", F.count_if(f"is_{kind}").over(so_far).alias("n"), dq[kind].alias("dq")))
+        rows = rows.withColumn(f"{kind}_so_far", latest)
+    opening = F.lag("block", 1, -1).over(order) != F.col("block")
+    rows = rows.withColumn("opening", opening)
+    for kind in ("relay", "result"):
+        latest, before = F.last(f"{kind}_so_far", ignorenulls=True).over(so_far), F.count_if(f"is_{kind}").over(so_far)
+        base = F.when(F.col("opening"), before - F.col(f"is_{kind}").cast("int"))
+        rows = rows.withColumns({f"{kind}_last": latest, f"{kind}_base": base})
+    rows = rows.withColumns({f"{kind}_base": F.last(f"{kind}_base", ignorenulls=True).over(so_far) for kind in ("relay", "result")})
+    here = {kind: F.coalesce(F.col(f"{kind}_last.block") == F.col("block"), F.lit(False)) for kind in ("relay", "result")}
+    for kind in ("relay", "result"):
+        no = F.when(here[kind], F.col(f"{kind}_last.n") - F.col(f"{kind}_base")).otherwise(0)
+        rows = rows.withColumns({f"{kind}_no": no, f"{kind}_dq": here[kind] & F.col(f"{kind}_last.dq")})
+
+    rows = rows.where("line IS NOT NULL")
     open_relay = F.col("in_relay") & (F.col("relay_no") > 0)
-    coded, legs, splits = F.col("coded"), F.col("has_leg"), F.col("is_splits")
-    target = F.when(F.col("is_relay") | F.col("is_result"), F.when(F.col("is_relay"), "relay").otherwise("result"))
+    coded, legs, splits = F.col("coded"), F.col("legs"), F.col("splits")
+    left = F.col("known").isNull()
+    target = F.when(F.col("is_relay"), "relay").when(F.col("is_result"), "result")
     target = target.when(left & coded, F.when(open_relay & F.col("relay_dq"), "relay").when((F.col("result_no") > 0) & F.col("result_dq"), "result"))
     target = target.when(left & (splits | legs), F.when(open_relay, "relay").when((F.col("result_no") > 0) & splits, "result"))
     rows = rows.withColumn("target", target)
-    kind = F.when(~left, F.col("kind")).when(open_relay & legs, "legs").when(F.col("is_relay"), "relay").when(coded & F.col("target").isNotNull(), "dq_code")
-    kind = kind.when(splits, "splits").when(F.col("is_result"), "result").when(F.col("meet_like") | line.rlike(r"^\d+$"), "noise").otherwise("unmatched")
-    return rows.select("doc_id", "at", "line", kind.alias("kind"), "event_key", "block", "relay_no", "result_no", "target", "time_type", "res", "rel")
+    kind = F.when(~left, F.col("known")).when(open_relay & legs, "legs").when(F.col("is_relay"), "relay").when(coded & F.col("target").isNotNull(), "dq_code")
+    kind = kind.when(splits, "splits").when(F.col("is_result"), "result").when(line.rlike(MEET_HEADER) | line.rlike(r"^\d+$"), "noise").otherwise("unmatched")
+    groups = [F.when(F.col("is_result"), unmarked(F.col("res"), 7)).alias("res"), F.when(F.col("is_relay"), unmarked(F.col("rel"), 5)).alias("rel")]
+    return rows.select("doc_id", "at", "line", kind.alias("kind"), "event_key", "block", "relay_no", "result_no", "target", "time_type", *groups)
 
 
 def split_pairs(line: Column) -> Column:
@@ -246,15 +291,17 @@ def relay_legs(relays: DataFrame) -> DataFrame:
 
 CHECKS = ["meet_name", "meet_dates", "has_events", "has_results", "all_events_typed", "line_coverage", "no_empty_names", "valid_times"]
 PASS_SCORE = 0.6
+UNMATCHED_SHOWN = 20
 
 
 def quality(lines: DataFrame, meets: DataFrame, events: DataFrame, results: DataFrame, relays: DataFrame) -> DataFrame:
     """Per document eight checks, their share, and the first 20 lines that nothing matched. Checks over nothing hold."""
-    unmatched = F.when(F.col("kind") == "unmatched", F.struct("at", "line"))
     counted = lines.groupBy("doc_id").agg(
-        F.count("*").cast("int").alias("total_lines"), F.count_if(F.col("kind") != "unmatched").cast("int").alias("classified_lines"),
-        F.slice(F.array_sort(F.collect_list(unmatched)), 1, 20).alias("u"),
-    )
+        F.count("*").cast("int").alias("total_lines"), F.count_if(F.col("kind") != "unmatched").cast("int").alias("classified_lines")
+    )
+    first = top_per_key(lines.where("kind = 'unmatched'").select("doc_id", "at", "line"), ["doc_id"], [F.col("at")], UNMATCHED_SHOWN)
+    shown = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("u"))
+    counted = counted.join(shown, "doc_id", "left").withColumn("u", F.coalesce("u", F.array().cast("array<struct<at:bigint,line:string>>")))
     of_events = events.groupBy("doc_id").agg(F.count("*").alias("n_events"), F.bool_and(F.col("time_type").isin("Prelim Time", "Finals Time")).alias("typed"))
     fine = F.col("mark").isNull() | F.col("mark").rlike(r"^\d+:[\d.]+$|^[\d.]+$")
     of_results = results.groupBy("doc_id").agg(

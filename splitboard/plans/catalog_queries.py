@@ -31,7 +31,7 @@ SELECT sha256, byte_size, 'results-' || doc_id || '.pdf' AS original_filename, '
 def document_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by content hash: exact copies are one."""
     stored = spark.createDataFrame([], TABLES["raw_document"])
-    return ingest.register_documents(incoming(spark, sf_dir), stored, "archive").select("sha256", "byte_size", "original_filename", "category", "storage_path", "is_valid_pdf")
+    return ingest.register_documents(ingest.hashed_documents(incoming(spark, sf_dir)), stored, "archive").select("sha256", "byte_size", "original_filename", "category", "storage_path", "is_valid_pdf")
 
 
 @query(f"""
@@ -41,7 +41,7 @@ FROM c GROUP BY 1
 def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sources each content has; one reference per source and content."""
     rows = incoming(spark, sf_dir).withColumn("filename", F.lit(None).cast("string"))
-    found = ingest.register_references(rows, spark.createDataFrame([], TABLES["source_reference"]))
+    found = ingest.register_references(ingest.hashed_documents(rows), spark.createDataFrame([], TABLES["source_reference"]))
     return found.groupBy("sha256").agg(F.count("*").alias("n_references"), F.min("source_identity").alias("first_identity"))
 
 
@@ -242,11 +242,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> catalog.Refresh:
     when = F.to_timestamp(F.lit("2026-01-01"))
     url = F.concat(F.lit("e/"), "source")
     name = F.concat(F.lit("d"), "doc_id")
-    stored = docs.where("doc_id % 7 <> 0 AND source <> 'src1'").select(
+    stored = docs.where("source = 'src2' OR (source <> 'src1' AND doc_id % 7 <> 0)").select(
         url.alias("event_url"), name.alias("url"), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(name).alias("filename"), F.col("lang").alias("category"),
         when.alias("first_seen_at"), when.alias("last_seen_at"), when.alias("last_checked_at"), (F.col("doc_id") % 11 != 0).alias("is_currently_listed"),
     )
-    found = docs.where("doc_id % 13 <> 0 AND source <> 'src2'").select(url.alias("event_url"), name.alias("url"), name.alias("filename"), F.col("lang").alias("category"))
+    found = docs.where("source <> 'src2' AND (source = 'src1' OR doc_id % 7 = 0 OR doc_id % 13 <> 0)").select(url.alias("event_url"), name.alias("url"), name.alias("filename"), F.col("lang").alias("category"))
     none = F.lit(None).cast("string")
 
     def events(rows: DataFrame) -> DataFrame:
@@ -260,8 +260,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> catalog.Refresh:
 
 
 SNAPSHOTS = """
-so AS (SELECT 'e/' || source AS event_url, 'd' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE 'd' || doc_id END AS filename, lang AS category, doc_id % 11 <> 0 AS listed FROM documents WHERE doc_id % 7 <> 0 AND source <> 'src1'),
-sn AS (SELECT 'e/' || source AS event_url, 'd' || doc_id AS url, 'd' || doc_id AS filename, lang AS category FROM documents WHERE doc_id % 13 <> 0 AND source <> 'src2'),
+so AS (SELECT 'e/' || source AS event_url, 'd' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE 'd' || doc_id END AS filename, lang AS category, doc_id % 11 <> 0 AS listed FROM documents WHERE source = 'src2' OR (source <> 'src1' AND doc_id % 7 <> 0)),
+sn AS (SELECT 'e/' || source AS event_url, 'd' || doc_id AS url, 'd' || doc_id AS filename, lang AS category FROM documents WHERE source <> 'src2' AND (source = 'src1' OR doc_id % 7 = 0 OR doc_id % 13 <> 0)),
 dd AS (SELECT coalesce(sn.event_url, so.event_url) AS event_url, coalesce(sn.url, so.url) AS url,
               CASE WHEN so.url IS NULL THEN 'added' WHEN sn.url IS NULL THEN CASE WHEN so.event_url NOT IN (SELECT event_url FROM sn) THEN 'kept' WHEN listed THEN 'updated' ELSE 'gone' END
                    WHEN sn.filename <> so.filename OR sn.category <> so.category OR NOT listed THEN 'updated' ELSE 'unchanged' END AS change_type,
@@ -297,7 +297,7 @@ def catalog_refresh_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT 'u' || doc_id AS url, 'f' || doc_id AS filename, lang AS category, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-b AS (SELECT 'u' || doc_id AS url, 'f' || doc_id AS filename, CASE WHEN doc_id % 9 = 0 THEN 'other_pdf' ELSE lang END AS category, CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 8 <> 0),
+b AS (SELECT 'u' || doc_id AS url, 'f' || doc_id AS filename, CASE WHEN doc_id % 9 = 0 THEN 'other_pdf' ELSE lang END AS category, CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 8 <> 0 OR doc_id % 7 = 0),
 x AS (SELECT CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' END AS change_type, coalesce(b.url, a.url) AS url, coalesce(b.category, a.category) AS category
       FROM a FULL JOIN b ON a.url = b.url AND a.filename = b.filename AND a.category = b.category)
 SELECT change_type, url, category, category = 'other_pdf' AS importable FROM x WHERE change_type IS NOT NULL
@@ -308,7 +308,7 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("f"), "doc_id").alias("filename"), F.col("lang").alias("category"), "text")
     hashed = lambda text: F.sha2(text, 256).alias("sha256")
     old = rows.where("ord % 7 <> 0").select("ord", "url", "filename", "category", hashed(F.col("text")))
-    new = rows.where("ord % 8 <> 0").withColumn("category", F.when(F.col("ord") % 9 == 0, "other_pdf").otherwise(F.col("category")))
+    new = rows.where("ord % 8 <> 0 OR ord % 7 = 0").withColumn("category", F.when(F.col("ord") % 9 == 0, "other_pdf").otherwise(F.col("category")))
     new = new.select("ord", "url", "filename", "category", hashed(F.when(F.col("ord") % 10 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
     return manifests.diff(old, new).select("change_type", "url", "category", "importable")
 
@@ -326,7 +326,7 @@ def catalog_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIFF = """
 a AS (SELECT 'u' || doc_id AS url, 'f' || doc_id AS filename, lang AS category, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-b AS (SELECT 'u' || doc_id AS url, 'f' || doc_id AS filename, CASE WHEN doc_id % 9 = 0 THEN 'other_pdf' ELSE lang END AS category, CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 8 <> 0),
+b AS (SELECT 'u' || doc_id AS url, 'f' || doc_id AS filename, CASE WHEN doc_id % 9 = 0 THEN 'other_pdf' ELSE lang END AS category, CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 8 <> 0 OR doc_id % 7 = 0),
 x AS (SELECT CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' END AS change_type, coalesce(b.category, a.category) AS category
       FROM a FULL JOIN b ON a.url = b.url AND a.filename = b.filename AND a.category = b.category)
 """

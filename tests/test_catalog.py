@@ -115,7 +115,7 @@ def test_arrivals_are_loaded_once(spark, tmp_path):
     spark.createDataFrame([row], ARRIVALS).coalesce(1).write.parquet(f"{root}/in")
     for _ in range(2):
         load_arrivals(spark, f"{root}/in", store, f"{root}/checkpoint", told.append).awaitTermination(120)
-    assert [x.inserted for x in told] == [4] and store["result"].count() == 4
+    assert [x.inserted for x in told] == [6] and store["result"].count() == 6
 
 
 def test_lists(spark):

@@ -2,34 +2,38 @@ import pytest
 
 from splitboard.operators import sheets as sh
 
-PAGE = """Harbour Aquatics HY-TEK's MEET MANAGER 8.0 - 9:37 AM 18/3/2026 Page 1
-9th Harbour Seniors - 17/3/2026 to 22/3/2026
-Results - Day 1 Session 1
-Event 101 Boys 13-14 200 LC Meter IM
-2:51.20 13-14 MTS MTS
-Name Age Team Seed Time Prelim Time
-Preliminaries
-1 OAKES, Tom Leif 14 Northgate Swimming Club 2:29.40 2:28.51 qMTS
-r:+0.71 31.54 1:10.33 (38.79) 1:53.77 (43.44) 2:28.51 (34.74)
-*2 Reed, Milo 14 Lakeside Swimming Club O'Hara 2:32.11 2:31.02 qMTS
-r:+0.62 32.01 1:11.44 (39.43) 1:55.90 (44.46) 2:31.02 (35.12)
---- *Vale, Corin 14 D'Arc Herons (Isl) 2:36.80 DQ
-SW 7.4c Hands brought back beyond the hip line during stroke - breast
-r:+0.67 31.52 1:12.08 (40.56) 1:58.30 (46.22) DQ (35.90)
---- Marsh, Abel Jon 13 Fenwick Aquatic Club 3:05.10 NS
-this line fits nothing"""
-
-RELAYS = """Event 7 Girls 13-14 4x100 LC Meter Freestyle Relay Super Final
-Team Relay Seed Time Finals Time
-1 Rivermen Swimming (Isl) A 3:55.01 3:53.48
-1) *Quill, Iris 17 2) r:0.07 *Birch, Nora 17
-3) r:-0.02 Dorn, Ann W8 4) Pike, Bea M9
-r:+0.70 28.00 58.10 (30.10) 1:27.00 (28.90) 1:56.50 (58.40) 2:25.00 (28.50) 2:54.90 (58.40) 3:22.00 (27.10) 3:53.48 (58.58)
---- Hillside Gardens Country Club D NT DQ
-SW 10.11 Early take-off swimmer 2
---- Rivermen Swimming (Isl) B 4:03.03 X4:02.19
-(Event 101 Boys 13-14 200 LC Meter IM)
-9 Late, Arrival 14 Club 2:30.00 2:31.00"""
+PAGE = """Quayside Timing: HY-TEK's MEET MANAGER 7.0, page 1
+Lantern Cup 2025 - 4/7/2025 to 6/7/2025
+Results - Day 2 Session 3
+Event 12 Women 16-18 100 SC Meter Backstroke
+1:09.90 16-18 MTS MTS
+Name Age Team Prelim Time Finals Time
+A - Final
+--- Imre, Zofia 17 Kestrel Swim School 1:08.75 DNS
+1 Okafor, Ada 16 Kestrel Swim School 1:07.20 1:05.44
+r:+0.58 31.90 1:05.44 (33.54)
+an announcement between heats
+*2 Lund, Petra 18 Saltmarsh S.C. 1:06.10 1:06.02 qMTS
+32.40 1:06.02 (33.62)
+*2 *Moreau, Lise 16 Dune Runners 1:06.90 1:06.02 MTS
+--- Tanaka, Yui 17 Dune Runners NT DQ
+SW 6.3a Left the wall before the signal
+Event 13 Women 16-18 50 SC Meter Freestyle
+Name Age Team Seed Time Finals Time
+1 Okafor, Ada 16 Kestrel Swim School 27.10 26.88
+and one more announcement"""
+
+RELAYS = """Event 20 Mixed 14 & Over 4x100 SC Meter Freestyle Relay C - Final
+Team Relay Prelim Time Finals Time
+--- Saltmarsh S.C. B 4:20.00 X4:18.35
+--- Kestrel Swim School A 4:09.99 DQ
+SW 10.10 Team entered twice
+2 Dune Runners A NT 4:11.70
+1) Moreau, Lise W16 2) r:0.21 *Haddad, Sam M15
+3) r:-0.04 Boateng, Eli 17 4) Lund, Ivo M14
+r:+0.66 30.10 1:02.30 (32.20) 1:33.40 (31.10) 2:05.50 (63.20) 2:36.00 (30.50) 3:08.90 (63.40) 3:39.80 (30.90) 4:11.70 (62.80)
+(Event 12 Women 16-18 100 SC Meter Backstroke)
+4 Quist, Mia 17 Dune Runners 1:08.00 1:07.31"""
 
 
 @pytest.fixture(scope="module")
@@ -39,46 +43,79 @@ def sheets(spark):
 
 
 def test_events(sheets):
-    one, relay = sheets.events.orderBy("event_pos").collect()
-    assert (one.event_no, one.gender, one.age_group, one.distance, one.stroke, one.course) == ("101", "Boys", "13-14", 200, "IM", "LC")
-    assert (one.time_standard, one.time_type, one.is_relay) == ("2:51.20", "Prelim Time", False)
-    assert (relay.event_name, relay.is_relay, relay.time_type) == ("Girls 13-14 4x100 LC Meter Freestyle Relay", True, "Finals Time")
+    back, free, relay = sheets.events.orderBy("event_pos").collect()
+    assert (back.event_no, back.gender, back.age_group, back.distance, back.stroke, back.course) == ("12", "Women", "16-18", 100, "Backstroke", "SC")
+    assert (back.time_standard, back.time_type, back.is_relay) == ("1:09.90", "Finals Time", False)
+    assert (free.event_no, free.distance, free.time_standard) == ("13", 50, None)
+    assert (relay.event_name, relay.age_group, relay.is_relay) == ("Mixed 14 & Over 4x100 SC Meter Freestyle Relay", "14 & Over", True)
     meet = sheets.meets.where("doc_id = 'a'").first()
-    assert (meet.meet_name, meet.meet_dates, meet.session) == ("9th Harbour Seniors", "17/3/2026 to 22/3/2026", "Day 1 Session 1")
+    assert (meet.meet_name, meet.meet_dates, meet.session) == ("Lantern Cup 2025", "4/7/2025 to 6/7/2025", "Day 2 Session 3")
 
 
 def test_results(sheets):
-    rows = sheets.results.orderBy("pos").collect()
-    assert [r.name for r in rows] == ["OAKES, Tom Leif", "Reed, Milo", "Vale, Corin", "Marsh, Abel Jon", "Late, Arrival"]
-    first, tied, dq, ns, late = rows
-    assert (first.placement, first.age, first.team, first.seed_time, first.mark, first.qualifier, first.reaction_time) == (1, 14, "Northgate Swimming Club", "2:29.40", "2:28.51", "qMTS", "0.71")
-    assert [(s.cumulative, s.split, s.distance) for s in first.splits] == [("31.54", None, 50), ("1:10.33", "38.79", 100), ("1:53.77", "43.44", 150), ("2:28.51", "34.74", 200)]
-    assert tied.is_tied and tied.placement == 2
-    assert dq.is_dq and dq.is_guest and dq.mark is None and dq.dq_code == "SW 7.4c" and len(dq.splits) == 3 and dq.dq_description.startswith("Hands brought")
-    assert ns.is_ns and not ns.is_dq and ns.mark is None and ns.dq_code is None and ns.splits == []
-    assert late.event_no == "101" and late.event_name.endswith("IM")
+    absent, first, tied, guest, dq, short, late = sheets.results.orderBy("pos").collect()
+    assert absent.is_ns and not absent.is_dq and absent.mark is None and absent.splits == [] and absent.placement is None
+    assert (first.placement, first.name, first.age, first.team, first.seed_time, first.mark, first.qualifier, first.reaction_time) == (1, "Okafor, Ada", 16, "Kestrel Swim School", "1:07.20", "1:05.44", None, "0.58")
+    assert [(s.cumulative, s.split, s.distance) for s in first.splits] == [("31.90", None, 50), ("1:05.44", "33.54", 100)]
+    assert tied.is_tied and tied.placement == 2 and tied.qualifier == "qMTS" and len(tied.splits) == 2 and tied.reaction_time is None
+    assert guest.is_tied and guest.is_guest and guest.name == "Moreau, Lise" and guest.qualifier == "MTS" and guest.splits == []
+    assert dq.is_dq and dq.mark is None and dq.seed_time == "NT" and (dq.dq_code, dq.dq_description) == ("SW 6.3a", "Left the wall before the signal")
+    assert (short.event_no, short.mark, short.time_type) == ("13", "26.88", "Finals Time")
+    assert late.event_no == "12" and late.placement == 4 and late.event_name.endswith("Backstroke")
 
 
 def test_relays_and_legs(sheets):
-    won, dq, extra = sheets.relays.orderBy("pos").collect()
-    assert (won.team_name, won.relay_letter, won.mark, won.reaction_time, len(won.splits)) == ("Rivermen Swimming (Isl)", "A", "3:53.48", "0.70", 8)
-    assert dq.is_dq and dq.dq_code == "SW 10.11" and dq.seed_time == "NT"
-    assert extra.is_exhibition and extra.mark == "4:02.19" and extra.placement is None
+    extra, dq, second = sheets.relays.orderBy("pos").collect()
+    assert extra.is_exhibition and extra.mark == "4:18.35" and extra.placement is None and extra.relay_letter == "B"
+    assert dq.is_dq and dq.dq_code == "SW 10.10" and dq.mark is None
+    assert (second.team_name, second.relay_letter, second.mark, second.seed_time, second.reaction_time, len(second.splits)) == ("Dune Runners", "A", "4:11.70", "NT", "0.66", 8)
     legs = sheets.legs.orderBy("leg_number").collect()
     assert [(x.leg_number, x.name, x.is_guest, x.gender, x.age, x.reaction_time, x.split_time) for x in legs] == [
-        (1, "Quill, Iris", True, None, 17, "0.70", "58.10"), (2, "Birch, Nora", True, None, 17, "0.07", "58.40"),
-        (3, "Dorn, Ann", False, "W", 8, "-0.02", "58.40"), (4, "Pike, Bea", False, "M", 9, None, "58.58"),
+        (1, "Moreau, Lise", False, "W", 16, "0.66", "1:02.30"), (2, "Haddad, Sam", True, "M", 15, "0.21", "63.20"),
+        (3, "Boateng, Eli", False, None, 17, "-0.04", "63.40"), (4, "Lund, Ivo", False, "M", 14, None, "62.80"),
     ]
     assert [len(x.splits) for x in legs] == [2, 2, 2, 2]
 
 
 def test_quality(sheets):
     good = sheets.quality.where("doc_id = 'a'").first()
-    assert good.score == 1.0 and good.passed and good.unmatched_lines == ["this line fits nothing"]
-    assert (good.n_results, good.n_dq, good.n_ns, good.n_guests, good.n_people, good.n_with_splits, good.n_relays) == (5, 1, 1, 1, 5, 3, 3)
+    assert good.score == 1.0 and good.passed and good.unmatched_lines == ["an announcement between heats", "and one more announcement"]
+    assert (good.n_results, good.n_dq, good.n_ns, good.n_guests, good.n_people, good.n_with_splits, good.n_relays) == (7, 1, 1, 1, 6, 2, 3)
     assert {r.doc_id for r in sheets.quality.collect()} == {"a"}
 
 
+def test_lines_are_shuffled_and_sorted_once(spark):
+    """All lines go through one exchange and one sort; what is shuffled beside them are header lines."""
+    pages = spark.createDataFrame([("a", 1, PAGE)], "doc_id string, page_no int, text string")
+    plan = sh.classify(sh.page_lines(pages))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert above.count("Exchange hashpartitioning") == 1 and above.count("Sort [") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_the_memory_of_blocks(spark):
+    """A continued event goes on with its own layout; a continuation of no known event keeps the one before; details hang on the last result of their block."""
+    page = """Harvest Gala - 1/9/2025
+Event 1 Men 50 LC Meter Butterfly
+Name Age Team Seed Time Prelim Time
+1 One, A 20 Club X 30.00 29.00
+Event 2 Men 50 LC Meter Freestyle
+Name Age Team Seed Time Finals Time
+1 Two, B 20 Club X 30.00 28.00
+(Event 9 Men 50 LC Meter Unknown)
+SW 1.1 hangs on nothing here
+2 Three, C 20 Club X 30.00 28.50
+(Event 1 Men 50 LC Meter Butterfly)
+2 Four, D 20 Club X 30.00 DQ
+SW 2.2 own reason
+Spring Gala - 2/9/2025"""
+    read = sh.read_sheets(spark.createDataFrame([("m", 1, page)], "doc_id string, page_no int, text string"))
+    rows = [(r.name, r.event_no, r.time_type, r.dq_code) for r in read.results.orderBy("pos").collect()]
+    assert rows == [("One, A", "1", "Prelim Time", None), ("Two, B", "2", "Finals Time", None), ("Three, C", "2", "Finals Time", None), ("Four, D", "1", "Prelim Time", "SW 2.2")]
+    kinds = {r.line: r.kind for r in read.lines.collect()}
+    assert kinds["SW 1.1 hangs on nothing here"] == "unmatched" and kinds["Spring Gala - 2/9/2025"] == "noise" and kinds["Harvest Gala - 1/9/2025"] == "meet"
+
+
 def test_splits_lines(spark):
     lines = ["31.20 1:14.10 (42.90) 1:57.31 (43.21) DQ (38.05)", "r:+0.62", "3:22.10 (42.05) 4:04.15 (42.05) 4:46.80 (42.65) 5:29.60 (42.80)", "r:-0.05 25.00 50.10 (25.10)"]
     rows = spark.createDataFrame([(x,) for x in lines], "line string")
