@@ -5,7 +5,8 @@ has the totals of all prefixes of one word; stripes of one word have the totals
 longest extensions. All three orders travel as one structure and are merged elementwise:
 
 1. tasks cut texts into words in chunks of CHUNK bytes, number the chunk's words and count its n-grams by sorting integers (numpy).
-   Each chunk sends its stripes in sorted coordinate form (prefix, next, count) with the words they use;
+   Each chunk sends its stripes in sorted coordinate form (prefix, next, count), a column after the other in the smallest integers that
+   hold them, with the words they use;
 2. stripes are dealt over parts by a hash of prefix and next word, so that of a frequent word is split over all parts and no task holds
    one whole; the number of parts grows with the bytes of text, one for PART_BYTES;
 3. a part's stripes of one language are merged: words are numbered anew, equal (prefix, next) are added. Extensions below
@@ -24,6 +25,7 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 MIN_COUNT = 10
 TOP = 2000
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 PART_BYTES = 16 << 20
+ROWS_SENT = 32
 LEAST_PARTS = 128
 BROADCAST_ROWS = 400_000
 #: A-Z become a-z, a tab a blank, and what ends a piece a line feed.
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 ORDERS = (1, 2, 3)
-STRIPES = "lang string, part int, words string, " + ", ".join(f"w{k} array<int>, n{k} array<int>" for k in ORDERS)
+STRIPES = "lang string, part int, words string, id_type string, n_type string, " + ", ".join(f"w{k} binary, n{k} binary" for k in ORDERS)
 MERGED = "lang string, k int, w1 string, w2 string, w3 string, n long"
 
 
@@ -120,10 +123,12 @@ def counted(lang: str, data: bytes, skip: int, parts: int) -> Iterator[dict]:
         used, local = np.unique(np.concatenate([grams.ravel() for grams, _ in own.values()]), return_inverse=True)
         if not len(used):
             continue
-        row = {"lang": lang, "part": part, "words": b" ".join(names[used]).decode()}
+        id_type, n_type = np.min_scalar_type(len(used)), np.min_scalar_type(max(n.max(initial=0) for _, n in own.values()))
+        row = {"lang": lang, "part": part, "words": b" ".join(names[used]).decode(), "id_type": id_type.str, "n_type": n_type.str}
         begin = 0
         for k, (grams, n) in own.items():
-            row |= {f"w{k}": local[begin : begin + grams.size].astype(np.int32), f"n{k}": n.astype(np.int32)}
+            ids = local[begin : begin + grams.size].reshape(grams.shape)
+            row |= {f"w{k}": ids.T.astype(id_type).tobytes(), f"n{k}": n.astype(n_type).tobytes()}
             begin += grams.size
         yield row
 
@@ -136,8 +141,9 @@ def chunk_stripes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
     def sent(lang: str) -> Iterator[pa.RecordBatch]:
         sizes.pop(lang)
         for data, skip in slices(b"\n".join(held.pop(lang))):
-            if rows := list(counted(lang, data, skip, parts)):
-                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+            rows = counted(lang, data, skip, parts)
+            while some := list(islice(rows, ROWS_SENT)):
+                yield pa.RecordBatch.from_pylist(some, schema=SCHEMA)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -153,7 +159,7 @@ def chunk_stripes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         yield from sent(lang)
 
 
-ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 SCHEMA = pa.schema([(name, ARROW[kind]) for name, kind in (field.split(" ") for field in STRIPES.split(", "))])
 MERGED_SCHEMA = pa.schema([(name, ARROW[kind]) for name, kind in (field.split(" ") for field in MERGED.split(", "))])
 
@@ -173,13 +179,12 @@ def merged_stripes(table: pa.Table, min_count: int) -> pa.Table:
     split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
     coded = split.flatten().dictionary_encode()
     ids, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    id_types, n_types = table["id_type"].to_pylist(), table["n_type"].to_pylist()
     begins, size = split.offsets.to_numpy().astype(np.int64), len(vocabulary)
     out = []
     for k in ORDERS:
-        column = table[f"w{k}"].combine_chunks()
-        lengths = np.diff(column.offsets.to_numpy())
-        grams = ids[column.flatten().to_numpy() + np.repeat(begins[:-1], lengths)].reshape(-1, k)
-        n = table[f"n{k}"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        grams = np.concatenate([ids[np.frombuffer(w, t).reshape(k, -1).T + begin] for w, t, begin in zip(table[f"w{k}"].to_pylist(), id_types, begins[:-1], strict=True)])
+        n = np.concatenate([np.frombuffer(w, t).astype(np.int64) for w, t in zip(table[f"n{k}"].to_pylist(), n_types, strict=True)])
         if k == 1:
             out.append((0, [], np.array([n.sum()])))
         # The prefix is numbered first where prefix and word do not fit one integer.
