@@ -140,18 +140,31 @@ def encoder(tokenizer: str | None) -> Callable[[str], list[int]]:
     """Texts to the ids of a byte-level BPE of the library tokenizers, given its JSON file (add_special_tokens=False).
 
     The strings of added tokens in a text get these tokens' ids, as that library gives them. Its ids grow with the rank of
-    their merges, so the same vocabulary drives tiktoken, which is four times as fast (tests compare both).
+    their merges, so the same vocabulary drives tiktoken, which is four times as fast (tests compare both). A text that its
+    pattern can't take apart, such as one with a million blanks in a row, goes to tokenizers itself.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
         held = json.load(file)
     added = {t["content"]: t["id"] for t in held["added_tokens"]}
     to_byte = byte_of()
     ranks = {bytes(to_byte[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in added}
     encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode(text, allowed_special="all", disallowed_special=())
+    plain: list[Tokenizer] = []  # read for the first such text
+
+    def encode(text: str) -> list[int]:
+        try:
+            return encoding.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            if not plain:
+                plain.append(Tokenizer.from_file(path))
+            return plain[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: str | None = None) -> DataFrame:

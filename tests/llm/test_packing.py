@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from splitboard.llm.packing import Packer, op6_packing, pack
+from splitboard.llm.packing import Packer, encoder, op6_packing, pack
 
 
 def check_pieces(rows, texts, limit=2048):
@@ -93,3 +93,9 @@ def test_limits_hold_together():
             assert start == at
             at += m
         assert at == n and sum(x[2] for x in covered[key]) == loss
+
+
+def test_very_long_white_space_has_the_ids_of_tokenizers():
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), encoder(None)
+    for text in (" " * 1_000_000 + "x", "\n" * 2_000_000 + "x", "a" + " \n\t" * 500_000, " " * 1_500_000):
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
