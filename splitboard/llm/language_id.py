@@ -7,8 +7,9 @@ probabilities; a text's are their mean, weighted by the windows' bytes.
 
 The languages are all those that labelled rows have. Training uses a bounded sample: of each language the labelled documents
 with the smallest hash of their id, an equal share of SAMPLE_DOCS but LEAST_PER_LANG at least and MOST_PER_LANG at
-most, so rare languages are learned and a hot source is no more than its share; SAMPLE_WINDOWS windows of each. It runs in numpy on the driver; the sample and the model (some ten thousand
-numbers) are the only things there. Prediction is one pass over the table, without a shuffle.
+most, so rare languages are learned and a hot source is no more than its share; SAMPLE_WINDOWS windows of each. Rows that share a
+doc_id count as one document there. More than MAX_LANGS languages are an error. Training runs in numpy on the driver; the sample and the
+model (some ten thousand numbers) are the only things there. Prediction is one pass over the table, without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no
 row is labelled; rows without a doc_id do not train and are not held out; repeated rows each get a row; an
@@ -36,6 +37,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
 PLACES = WINDOW - max(WIDTHS) + 1
 SAMPLE_DOCS, LEAST_PER_LANG, MOST_PER_LANG = 2000, 50, 1000
+MAX_LANGS = 1000
 SAMPLE_WINDOWS = 4
 EPOCHS = 8
 UNKNOWN = "und"
@@ -122,9 +124,13 @@ def learn(docs: DataFrame, trains: Column) -> tuple[list[str], dict[str, np.ndar
     labelled = docs.where(trains & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     step = F.length("text") / SAMPLE_WINDOWS
     cuts = F.array(*[F.substring("text", (F.lit(1) + F.floor(step * k)).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)])
-    counted = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counted:
+    # Different ids, since rows that share one are one place in the order of hashes; an estimate does, it only bounds what is ranked.
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(key, 0.05).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not sizes:
         return [], None
+    counted = {r.lang: max(1, r.n) for r in sizes}
     langs = sorted(counted)
     most = min(MOST_PER_LANG, max(LEAST_PER_LANG, SAMPLE_DOCS // len(langs)))
     # Hashes are even, so the part of their range that four times as many fall into holds the smallest ones of a language; only those are ranked.
@@ -133,6 +139,8 @@ def learn(docs: DataFrame, trains: Column) -> tuple[list[str], dict[str, np.ndar
     drawn = labelled.select("lang", key.alias("key"), cuts.alias("cuts")).join(bounded, "lang").where("key <= bound").groupBy("lang", "key").agg(F.min("cuts").alias("cuts"))
     ranked = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= most)
     rows = sorted(ranked.select("lang", "key", "cuts").collect())
+    if missing := set(langs) - {r.lang for r in rows}:
+        raise ValueError(f"no documents drawn of {sorted(missing)}")
     found = [(windows_of(c)[0], langs.index(r.lang)) for r in rows for c in r.cuts if c]
     return langs, train(np.array([w for w, _ in found]), np.array([y for _, y in found]), len(langs))
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from splitboard.llm import language_id as ln
@@ -47,3 +48,21 @@ def test_odd_rows(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in ln.identify(unlabelled).collect()} == {"und"}
     assert ln.identify(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_one_document_of_the_sample(spark):
+    """A language of very many rows but few ids is learned like any other; one of few rows, too."""
+    base = [(i, f"{'the cat and dog went' if i % 2 else 'der hund und die katze'} {i}", "en" if i % 2 else "de") for i in range(200)]
+    few = spark.createDataFrame([*base, (1000, "le chat et le chien", "fr"), (1001, "où est le chat", "fr")], "doc_id long, text string, lang string")
+    same = spark.range(100_000).selectExpr("2000 + id % 3 AS doc_id", "'kot i pies w domu ' || (id % 3) AS text", "'pl' AS lang")
+    found = ln.identify(few.union(same)).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred): r["count"] for r in found if r.lang == "pl"} == {("pl", "pl"): 100_000}
+    assert all(r.lang == r.lang_pred for r in found if r.lang in ("en", "de"))
+    assert ln.learn(few.union(same), F.lit(True))[0] == ["de", "en", "fr", "pl"]
+
+
+def test_languages_without_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ln, "MAX_LANGS", 5)
+    docs = spark.range(30).selectExpr("id AS doc_id", "'text' AS text", "'l' || id AS lang")
+    with pytest.raises(ValueError, match="more than 5"):
+        ln.identify(docs)
