@@ -51,16 +51,24 @@ class Template(NamedTuple):
 #: Phrases whose places are reported, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Usual notices of public licenses.
+#: Usual notices of public licenses. Each of a family names what tells it from the others.
+CC, CC_END, NO_CHANGES = "This work is licensed under a Creative Commons", "4.0 International License.", "noderivatives noderivs"
 TEMPLATES = [
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     Template("mit", "Released under the MIT License.", "mit license"),
     Template("apache-2", "Licensed under the Apache License, Version 2.0.", "apache 2"),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc nc"),
-    Template("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc sa"),
-    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "commons attribution", "noncommercial sharealike noderivatives noderivs"),
-    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "commons noncommercial"),
-    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "commons sharealike"),
+    Template("cc-by", "Licensed under CC BY 4.0.", "cc by", "nc sa nd"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc by nc", "sa nd"),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc by sa", "nc nd"),
+    Template("cc-by-nd", "Licensed under CC BY-ND 4.0.", "cc by nd", "nc sa"),
+    Template("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa", "nd"),
+    Template("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0.", "cc by nc nd", "sa"),
+    Template("cc-by", f"{CC} Attribution {CC_END}", "commons attribution", f"noncommercial sharealike {NO_CHANGES}"),
+    Template("cc-by-nc", f"{CC} Attribution-NonCommercial {CC_END}", "commons noncommercial", f"sharealike {NO_CHANGES}"),
+    Template("cc-by-sa", f"{CC} Attribution-ShareAlike {CC_END}", "commons sharealike", f"noncommercial {NO_CHANGES}"),
+    Template("cc-by-nd", f"{CC} Attribution-NoDerivatives {CC_END}", "commons noderivatives", "noncommercial sharealike"),
+    Template("cc-by-nc-sa", f"{CC} Attribution-NonCommercial-ShareAlike {CC_END}", "commons noncommercial sharealike", NO_CHANGES),
+    Template("cc-by-nc-nd", f"{CC} Attribution-NonCommercial-NoDerivatives {CC_END}", "commons noncommercial noderivatives", "sharealike"),
     Template("gpl-3", "This work is licensed under the GNU General Public License, version 3.", "gnu 3", "lesser affero"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution"),
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2"),
@@ -103,20 +111,25 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, threshold: floa
     own = template_words(spark, templates)
     known = own.select("word", "span", "never").collect()
     order = global_order(docs, sorted({r.word for r in known} | {w for r in known for w in r.never}))
-    span = max(r.span for r in known)
     rank = spark.createDataFrame(list(enumerate(order)), "word_rank int, word string")
 
     listed = own.join(F.broadcast(rank), "word").groupBy("template", "label", "span", "must", "never").agg(F.array_sort(F.collect_list(F.struct("word_rank", "word"))).alias("t"))
     listed = listed.select("label", "span", "must", "never", F.transform("t", lambda x: x["word"]).alias("t_words"), F.ceil(F.size("t") * F.lit(threshold) - 1e-9).cast("int").alias("need"))
     index = listed.select("*", F.posexplode("t_words").alias("i", "anchor")).where(F.col("i") <= F.size("t_words") - F.col("need"))
-    prefix = sorted({r.anchor for r in index.select("anchor").collect()})
+    spans = {r.anchor: r.span for r in index.groupBy("anchor").agg(F.max("span").alias("span")).collect()}  # of the templates that a prefix word stands for
+    prefix = sorted(spans)
+    span_of = F.create_map(*[F.lit(x) for item in sorted(spans.items()) for x in item])
 
     def anchors(words: Column) -> Column:
         """The places of prefix words with the template words around them; texts without any are not taken further apart."""
         hits = F.array_compact(F.transform(words, lambda w, at: F.when(w.isin(order), F.struct(at.alias("at"), w.alias("word")))))
 
         def around(hits: Column) -> Column:
-            places = F.transform(hits, lambda h, i: F.when(h["word"].isin(prefix), F.struct(h["at"].alias("at"), h["word"].alias("word"), F.slice(hits, F.greatest(i - span + 2, F.lit(1)), 2 * span - 1).alias("near"))))
+            def near(h: Column, i: Column) -> Column:
+                span = F.element_at(span_of, h["word"])
+                return F.slice(hits, F.greatest(i - span + 2, F.lit(1)), 2 * span - 1)
+
+            places = F.transform(hits, lambda h, i: F.when(h["word"].isin(prefix), F.struct(h["at"].alias("at"), h["word"].alias("word"), near(h, i).alias("near"))))
             return F.array_compact(places)
 
         return F.when(F.arrays_overlap(words, F.array(*map(F.lit, prefix))), let(hits, around))

@@ -58,7 +58,10 @@ def test_license_cases(spark):
 
 
 def test_licenses_over_lines_and_siblings(spark):
-    """Notices wrapped in any way and behind comment signs are found; siblings are told apart; scattered words are no notice."""
+    """Notices wrapped in any way and behind comment signs are found; siblings are told apart; scattered words are no notice.
+
+    The phrase "cc by nc" stands in the longer names of its family, too, so its base label stays beside theirs.
+    """
     grant = "# Permission is hereby\n# granted, free of charge, to any person\n# obtaining a copy of this software and so on"
     scattered = " ".join(f"{w} and then much else was said here {i}" for i, w in enumerate("permission is hereby granted free of charge to any person obtaining a copy of this software".split()))
     cases = {
@@ -67,7 +70,12 @@ def test_licenses_over_lines_and_siblings(spark):
         4: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 5: ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
         6: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"), 7: ("This work is licensed under a Creative Commons Attribution 4.0\nInternational License.", "cc-by"),
         8: (scattered, ""), 9: ("released under the new license of ours", ""), 10: ("word " * 500 + grant + " word" * 500, "mit"), 11: (f"{grant}\n" * 300, "mit"),
-        12: ("Licensed under the GNU Lesser General Public License, version 3.", ""),
+        12: ("Licensed under the GNU Lesser General Public License, version 3.", ""), 13: ("Licensed under CC BY 4.0.", "cc-by"), 14: ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+        15: ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc,cc-by-nc-sa"), 16: ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc,cc-by-nc-nd"),
+        17: ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+        18: ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+        19: ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+        20: ("license " * 20_000 + "Licensed under CC BY-SA 4.0.", "cc-by-sa"),
     }
     got = {r.doc_id: r for r in license_scan.scan(docs(spark, *[(i, t) for i, (t, _) in cases.items()])).collect()}
     assert {i: r.labels for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
