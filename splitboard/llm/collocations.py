@@ -46,6 +46,7 @@ PART_BYTES = 16 << 20
 ROWS_SENT = 32
 LEAST_PARTS = 128
 BROADCAST_ROWS = 400_000
+SALTS = 4
 #: A-Z become a-z, a tab a blank, and what ends a piece a line feed.
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 ORDERS = (1, 2, 3)
@@ -246,8 +247,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
 
     phrase = F.concat_ws(" ", "w1", "w2", "w3").alias("phrase")
     every = pairs.select("lang", phrase, F.col("n").alias("a"), "cut.*").unionByName(triples.select("lang", phrase, F.col("n").alias("a"), "cut.*"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # A language may hold most phrases: its first ones are chosen in SALTS parts, so the task that ranks them gets SALTS times top rows at most.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
+    first = every.select("*", part).withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= top)
+    ranked = first.drop("salt", "nth").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = of(0).groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals.hint("shuffle_hash"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
