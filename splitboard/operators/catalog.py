@@ -22,6 +22,7 @@ DEFAULT_POLICY = {
     "categories_to_preview": ["overall_results", "other_pdf"], "categories_allowed_for_import": ["overall_results", "other_pdf"], "auto_import_policy": "preview_only",
 }
 
+#: The fields whose change is an update.
 COMPARED = ["title", "page_title", "readiness_status", "pdf_count", "result_pdf_count", "category_counts"]
 
 
@@ -73,7 +74,7 @@ def refresh(events: DataFrame, documents: DataFrame, found_events: DataFrame, fo
     those of other events are kept. A change of documents renews an event's last_changed_at and does not make it updated.
     """
     doc = documents.select(*[F.col(c).alias(f"o_{c}") for c in ("event_url", "url", "filename", "category", "is_currently_listed", "first_seen_at", "last_seen_at", "last_checked_at")])
-    scope = found_events.select(F.col("url").alias("s_url"))
+    scope = found_events.select(F.col("url").alias("s_url")).hint("merge")  # may come from a generator: no automatic broadcast
     inside = doc.join(scope, doc["o_event_url"] == scope["s_url"], "left_semi")
     both = found_documents.hint("merge").join(inside, (found_documents["event_url"] == inside["o_event_url"]) & (found_documents["url"] == inside["o_url"]), "full_outer")
     new, gone = F.col("o_url").isNull(), F.col("url").isNull()

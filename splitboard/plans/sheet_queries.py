@@ -32,7 +32,7 @@ def rendered(spark: SparkSession, sf_dir: str, noise: bool = False) -> DataFrame
     parts = [result, *([F.when(F.col("is_dq"), F.lit("SW 7.4c Both hands late"))]), splits, *([F.lit("some words that fit nothing")] if noise else [])]
     rows = rows.select("l_orderkey", F.struct("l_linenumber", "twin", F.concat_ws("\n", *parts).alias("text")).alias("r"))
     sheets = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    header = F.format_string("Club HY-TEK's MEET MANAGER 8.0 Page 1\nMeet %d - 1/3/2026 to 2/3/2026\nResults - Day 2 Session 1\nEvent 7 Men 13-14 100 LC Meter Butterfly\n2:47.17 13-14 MTS MTS\nName Age Team Seed Time Finals Time\n", "l_orderkey")
+    header = F.format_string("Club HY-TEK's MEET MANAGER 8.0 Page 1\nMeet %d - 1/3/2026 to 2/3/2026\nResults - Day 2 Session 1\nEvent 7 Men 13-14 100 LC Meter Butterfly\n2:05.00 13-14 MTS MTS\nName Age Team Seed Time Finals Time\n", "l_orderkey")
     return sheets.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.concat(header, F.array_join(F.transform("r", lambda x: x["text"]), "\n")).alias("text"))
 
 
@@ -78,7 +78,7 @@ def sheet_roundtrip_relays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = sh.read_sheets(rows.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text")))
     read = found.legs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("leg_number", F.regexp_extract("name", r"P(\d+)", 1).cast("long").alias("n"), "name"))).alias("l"))
-    both = found.relays.select("doc_id", "team_name", "relay_letter").join(read, "doc_id")
+    both = found.relays.select("doc_id", "team_name", "relay_letter").join(read.hint("merge"), "doc_id")
     told = F.array_join(F.transform("l", lambda x: F.concat_ws(" ", x["leg_number"], x["name"])), "; ")
     return both.select(F.col("doc_id").alias("o_orderkey"), "team_name", "relay_letter", F.size("l").cast("long").alias("n_legs"), told.alias("legs"))
 
