@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from splitboard.functions import documents as d
@@ -118,6 +119,40 @@ def test_arrivals_are_loaded_once(spark, tmp_path):
     assert [x.inserted for x in told] == [6] and store["result"].count() == 6
 
 
+def test_a_batch_that_died_is_loaded_anew(spark, tmp_path, monkeypatch):
+    """A stream that dies at a late write, its restart, and a restart without its checkpoint leave each row once, after a replacing load, too."""
+    from splitboard.operators.ingest import load_sheets
+    from splitboard.sources.store import Store
+    from splitboard.streaming.arrivals import ARRIVALS, load_arrivals
+    from tests.test_ingest import batch
+    from tests.test_sheets import PAGE, RELAYS
+
+    root = f"{tmp_path}/{uuid.uuid4().hex}"
+    store, told = Store(spark, f"{root}/store", buckets=4), []
+    load_sheets(store, *batch(spark, "before", page=PAGE.replace("Lantern", "Other")), replace=True)
+    rows = [(f"r{i}", f"%PDF {i}".encode(), f"results-{i}.pdf", "watch", None, None, None, i, [(1, PAGE + "\n" + RELAYS)]) for i in range(2)]
+    spark.createDataFrame(rows, ARRIVALS).coalesce(1).write.parquet(f"{root}/in")
+    real = store.add
+
+    def dying(name, df, run_id):
+        real(name, df, run_id)
+        if name == "relay_result":
+            raise RuntimeError("the driver dies here")
+
+    monkeypatch.setattr(store, "add", dying)
+    with pytest.raises(StreamingQueryException):
+        load_arrivals(spark, f"{root}/in", store, f"{root}/checkpoint", told.append, name="watch").awaitTermination(120)
+    monkeypatch.setattr(store, "add", real)
+    store.refresh()
+    assert told == [] and store["result"].count() == 6 and store["relay_leg"].count() == 0
+    for checkpoint in ("checkpoint", "another"):
+        load_arrivals(spark, f"{root}/in", store, f"{root}/{checkpoint}", told.append, name="watch").awaitTermination(120)
+    assert [(x.inserted, x.duplicates) for x in told] == [(10, 10)]
+    fresh = Store(spark, f"{root}/store")
+    assert fresh["result"].count() == 13 and fresh["relay_leg"].count() == 4 and fresh["ingestion_run"].where("status = 'succeeded'").count() == 2
+    assert fresh.committed("watch", 0) and not fresh.committed("watch", 1) and not fresh.committed("other", 0)
+
+
 def test_lists(spark):
     sites = spark.createDataFrame([(1, "s"), (2, "t")], "site_id long, name string")
     rules = spark.createDataFrame([(10, 1, "r"), (11, 1, "q")], "rule_id long, site_id long, name string")
