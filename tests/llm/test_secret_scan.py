@@ -66,6 +66,44 @@ def test_planted_in_documents(spark):
     assert any(zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in planted)
 
 
+def test_whole_table_equals_brute_force(spark, sf_small):
+    """The query's places, digests and kinds against loops over characters of whole texts, the dictionary against a plain count."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = s.op4_secret_scan(spark, sf_small).collect()
+    run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    want = set()
+    for i, text in texts.items():
+        named = [(c.named_at, c.end) for c in s.candidates(text) if c.form != "bare"]
+        want |= {(i, c.start, c.end - c.start) for c in s.candidates(text) if c.form != "bare"}
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in run:
+                end += 1
+            if end - at >= 16:
+                close = end
+                while close < len(text) and text[close] == "=" and close < end + 2:
+                    close += 1
+                if not any(at < b and a < close for a, b in named):
+                    want.add((i, at, close - at))
+            at = max(end, at + 1)
+    assert {(r.doc_id, r.start, r.length) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        value = texts[r.doc_id][r.start : r.start + r.length]
+        assert r.secret_sha256 == hashlib.sha256(value.encode()).hexdigest() and (r.kind in s.FORMATS) == any(re.fullmatch(p, value) for p in s.FORMATS.values())
+        assert r.is_secret == (r.score >= s.LEAST_SCORE) and 0 <= r.score <= 1
+    counted = defaultdict(int)
+    for text in texts.values():
+        for word in re.split(r"[\W_]+", text.lower()):
+            if 2 <= len(word) <= s.LONGEST_WORD and word.isalpha():
+                counted[word] += 1
+    total = sum(counted.values())
+    words, pairs = s.count_prose(docs)
+    assert set(words) == {w for w, n in counted.items() if len(w) > 2 and n >= s.LEAST_TIMES and n * s.WORD_SHARE >= total}
+    assert pairs["th"] == sum(n * sum(w[i : i + 2] == "th" for i in range(len(w) - 1)) for w, n in counted.items())
+
+
 def test_odd_rows(spark):
     key = "AKIA" + "Q7" * 8
     rows = [(None, f"x {key}", 1), (1, None, 1), (2, "", 1), (3, f"{key} {key}", 1), (3, f"{key} {key}", 1), (4, "a" * 200_000, 1), (5, 'key="' * 20_000, 1)]
