@@ -18,7 +18,8 @@
 Querying every shard costs (classes x shards) searches; the number of shards is constant until shards are full
 and grows with the input from there. That is the named method's price. A shard travels once with each block of BLOCK_ROWS
 searches, which adds SHARD_ROWS / BLOCK_ROWS to what the searches send anyway; tasks read no file, since on a cluster only
-Spark's readers reach the shared folder.
+Spark's readers reach the shared folder. The units of a shard and a block grow with the square of the classes; beyond MOST_TASKS
+a task works through several of them, one shard in memory at a time, so the driver's work stays bounded.
 
 Defined cases: null and zero vectors and vectors with null or non-finite components link with nothing and are
 their own component; vectors of different lengths never link; rows without a vec_id count as links of others and take part in
@@ -47,6 +48,7 @@ COSINE = 0.9
 SHARDS = 6  # at least
 SHARD_ROWS = 20_000
 BLOCK_ROWS = 50_000
+MOST_TASKS = 20_000
 NEIGHBOURS = 12  # links of a node on upper layers; twice as many on the lowest
 TOP = 256  # rows of the uppermost layer
 ENTRIES = 8
@@ -302,7 +304,7 @@ def find_links(classes: DataFrame, cosine: float) -> DataFrame:
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")
     queries = classes.select("dim", every_shard, block, F.lit(1).alias("kind"), "cls", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("binary").alias("payload"))
     unit_key = ["dim", "shard", "block"]
-    dealt = graphs.unionByName(queries).repartitionByRange(n_shards * n_blocks, *unit_key).sortWithinPartitions(*unit_key, "kind", "cls")
+    dealt = graphs.unionByName(queries).repartitionByRange(min(n_shards * n_blocks, MOST_TASKS), *unit_key).sortWithinPartitions(*unit_key, "kind", "cls")
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, key = None, None

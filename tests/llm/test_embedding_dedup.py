@@ -28,7 +28,12 @@ def brute(rows, cosine=0.9):
     return sorted((str(r[0]), links[i], least.get(find(i))) for i, r in enumerate(rows))
 
 
-def test_small_tables_are_exact(spark):
+@pytest.mark.parametrize("tasks", [20_000, 2])
+def test_small_tables_are_exact(spark, monkeypatch, tasks):
+    """Also where a task works through several small shards and blocks."""
+    if tasks == 2:
+        for name, value in (("MOST_TASKS", tasks), ("SHARD_ROWS", 20), ("BLOCK_ROWS", 50)):
+            monkeypatch.setattr(e, name, value)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
     rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=16) * 0.12]) for i in range(150)]
