@@ -23,6 +23,14 @@ def store(spark, tmp_path):
     return Store(spark, f"{tmp_path}/{uuid.uuid4().hex}", buckets=16)
 
 
+@pytest.fixture(scope="module")
+def loaded(spark, tmp_path_factory):
+    """A store with one load, for tests that only read."""
+    store = Store(spark, f"{tmp_path_factory.mktemp('store')}/{uuid.uuid4().hex}", buckets=16)
+    g.load_sheets(store, *batch(spark, "day1-results"))
+    return store
+
+
 def test_load_twice_then_replace(spark, store):
     docs, pages = batch(spark, "day1-results")
     one = g.load_sheets(store, docs, pages)
@@ -38,13 +46,11 @@ def test_load_twice_then_replace(spark, store):
 
     shorter = batch(spark, "day1-results-v2", page=PAGE)
     three = g.load_sheets(store, *shorter, replace=True)
-    assert (three.inserted, three.replaced) == (6, 10)
+    assert (three.inserted, three.duplicates, three.replaced) == (6, 0, 10)
     assert store["result"].count() == 6 and store["relay_result"].count() == 0 and store["relay_leg"].count() == 0  # the new document has no relays
     store.vacuum()
     assert store["result"].count() == 6 and store["relay_leg"].count() == 0 and store.numbers("relay_leg") == []
-    again = g.load_sheets(store, *shorter, replace=True)
-    assert (again.inserted, again.duplicates, again.replaced) == (6, 0, 6) and store["result"].count() == 6
-    assert [r.status for r in store["ingestion_run"].orderBy("run_id").collect()] == ["succeeded"] * 4
+    assert [r.status for r in store["ingestion_run"].orderBy("run_id").collect()] == ["succeeded"] * 3
 
 
 def test_deleted_competitions_may_come_back(spark, store):
@@ -76,7 +82,7 @@ def test_a_run_that_dies_leaves_nothing(spark, store, monkeypatch):
 
         return add
 
-    for at in ("source_reference", "relay_result", "result"):
+    for at in ("source_reference", "result"):
         monkeypatch.setattr(store, "add", dying(at))
         with pytest.raises(AnalysisException):
             g.load_sheets(store, docs, pages)
@@ -89,7 +95,7 @@ def test_a_run_that_dies_leaves_nothing(spark, store, monkeypatch):
         assert store["document_classification"].count() == store["source_reference"].count() == store["parse_job"].count() == 1
         store.vacuum()
     assert spark.read.parquet(f"{store.root}/result").select("ingestion_run_id").distinct().count() == 1
-    assert [(r.run_id, r.status, (r.validation_errors or "")[:8]) for r in store["ingestion_run"].orderBy("run_id").collect()] == [(1, "failed", "Analysis"), (3, "failed", "Analysis"), (5, "failed", "Analysis"), (7, "succeeded", "")]
+    assert [(r.run_id, r.status, (r.validation_errors or "")[:8]) for r in store["ingestion_run"].orderBy("run_id").collect()] == [(1, "failed", "Analysis"), (3, "failed", "Analysis"), (5, "succeeded", "")]
 
 
 def test_a_load_writes_the_buckets_it_touches(spark, store):
@@ -109,9 +115,8 @@ def test_a_load_writes_the_buckets_it_touches(spark, store):
     assert len(store.numbers("athlete/run=1")) + len(store.numbers("athlete/run=2")) == store.buckets
 
 
-def test_known_hashes_are_sought_in_the_competitions_of_the_batch(spark, store):
-    docs, pages = batch(spark, "day1-results")
-    g.load_sheets(store, docs, pages)
+def test_known_hashes_are_sought_in_the_competitions_of_the_batch(spark, loaded):
+    store = loaded
     rows = spark.createDataFrame([(store["meet"].first().meet_key, store["result"].first().content_hash, 1), (5, "new", 2), (5, "new", 1)], "meet_key long, content_hash string, pos int")
     new, old = g.split_new(rows, store["result"], ["pos"])
     assert [tuple(r) for r in new.collect()] == [(5, "new", 1)] and sorted(r.pos for r in old.collect()) == [1, 2]
@@ -178,9 +183,8 @@ def test_preview_writes_nothing(spark):
     assert sample.count() == 7 and totals.first().people == 9
 
 
-def test_entries_over_a_loaded_store(spark, store):
-    docs, pages = batch(spark, "day1-results")
-    g.load_sheets(store, docs, pages)
+def test_entries_over_a_loaded_store(spark, loaded):
+    store = loaded
     meet = store["meet"].first().meet_key
     listed = e.list_meets(store, search="lantern").rows.first()
     assert (listed.result_count, listed.athlete_count) == (7, 6)
