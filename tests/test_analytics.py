@@ -3,7 +3,9 @@
 import random
 
 from splitboard.operators import analytics as a
+from splitboard.operators import filters
 from splitboard.operators import sheets as sh
+from splitboard.sources import store as st
 
 
 def test_head_and_tail_equals_slices(spark):
@@ -32,3 +34,19 @@ def test_unmatched_lines_are_a_bounded_sample(spark):
     lines = spark.createDataFrame([], "doc_id string, at long, line string, kind string")
     first = a.top_per_key(lines.where("kind = 'unmatched'"), ["doc_id"], [lines["at"]], 20)
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString() or spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == "-1"
+
+
+def test_the_bit_map_loses_no_key(spark):
+    """Rows of the keys all pass, few others do, and its rows are bounded."""
+    rows = spark.range(20_000).selectExpr("id % 7 AS m", "'h' || id AS h")
+    keys = rows.where("h IN (SELECT 'h' || id * 40 FROM range(500))").union(rows.limit(1).selectExpr("99 AS m", "CAST(NULL AS STRING) AS h"))
+    passed = filters.might_be_in(rows, keys, ["m", "h"])
+    assert passed.columns == rows.columns and passed.join(keys, ["m", "h"]).count() == 500 and passed.count() < 4000
+    assert filters.might_be_in(rows, keys.limit(0), ["m", "h"]).count() == 0
+
+
+def test_many_keys_are_a_semi_join(spark, monkeypatch):
+    rows, keys = spark.range(100).selectExpr("id AS k"), spark.createDataFrame([(3,), (3,), (5,), (None,), (500,)], "k long")
+    few = sorted(r.k for r in st.among(rows, "k", keys).collect())
+    monkeypatch.setattr(st, "LISTED", 1)
+    assert few == [3, 5] == sorted(r.k for r in st.among(rows, "k", keys).collect())
