@@ -84,15 +84,6 @@ def test_quality(sheets):
     assert {r.doc_id for r in sheets.quality.collect()} == {"a"}
 
 
-def test_lines_are_shuffled_and_sorted_once(spark):
-    """All lines go through one exchange and one sort; what is shuffled beside them are header lines."""
-    pages = spark.createDataFrame([("a", 1, PAGE)], "doc_id string, page_no int, text string")
-    plan = sh.classify(sh.page_lines(pages))._jdf.queryExecution().executedPlan().toString()
-    above = plan[: plan.index("Union")]
-    assert above.count("Exchange hashpartitioning") == 1 and above.count("Sort [") == 1
-    assert plan.count("Exchange hashpartitioning") == 2
-
-
 def test_the_memory_of_blocks(spark):
     """A continued event goes on with its own layout; a continuation of no known event keeps the one before; details hang on the last result of their block."""
     page = """Harvest Gala - 1/9/2025
