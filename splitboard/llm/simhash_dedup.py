@@ -315,14 +315,17 @@ def near_links(codes: DataFrame, bucket: int = SMALL) -> DataFrame:
 
 
 def near_sets(docs: DataFrame, codes: DataFrame) -> DataFrame:
-    """(code, grams): the shingle sets of codes (code, text_id)."""
+    """(code, grams): the shingle sets of codes (code, doc_id, text_id), each from the text of its own document, so that a text that
+    many documents share meets in no task."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"code": batch["code"], "grams": [shingle_set(t).view("<i8") for t in batch["text"]]})
 
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
-    one = texts.join(codes.hint("shuffle_hash"), "text_id").groupBy("code").agg(F.first("text").alias("text"))
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
+    own = codes.select("code", F.col("doc_id").alias("own_doc"), F.col("text_id").alias("own_text"))
+    same = texts["doc_id"].eqNullSafe(own["own_doc"]) & (texts["text_id"] == own["own_text"])
+    one = texts.join(own.hint("shuffle_hash"), same).groupBy("code").agg(F.first("text").alias("text"))
     return one.mapInPandas(made, "code long, grams array<long>")
 
 
@@ -388,9 +391,9 @@ def links_of_large(buckets: DataFrame, sets: DataFrame, links: DataFrame, small:
 
 
 def near_components(docs: DataFrame, codes: DataFrame, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
-    """(code, root) of the codes (code, text_id, n, s0, s1, ...) that are near copies of others."""
+    """(code, root) of the codes (code, doc_id, text_id, n, s0, s1, ...) that are near copies of others."""
     buckets = key_buckets(codes)
-    involved = codes.select("code", "text_id").join(buckets.select("code").distinct(), "code", "left_semi")
+    involved = codes.select("code", "doc_id", "text_id").join(buckets.select("code").distinct(), "code", "left_semi")
     sets = stage(near_sets(docs, involved), "shingle-sets")
     links = stage(verified(pairs_of(buckets, small), sets), "near-links")
     more = links_of_large(buckets, sets, links, small, chunk)
@@ -402,7 +405,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     five-word shingles lead to, the row with the smallest doc_id stays (null ids last, ties by the text's hash).
     Every link is verified by the exact similarity of the two sets of shingles."""
     made = stage(sketches(docs).withColumnRenamed("fp", "code"), "sketches")
-    roots = near_components(docs, stage(made.drop("doc_id").dropDuplicates(["code"]), "codes"))
+    roots = near_components(docs, stage(made.dropDuplicates(["code"]), "codes"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     best = made.groupBy("code").agg(F.min(place).alias("best")).join(roots, "code", "left")
     winners = best.groupBy(F.coalesce("root", "code").alias("root")).agg(F.min("best").alias("best"))
