@@ -105,7 +105,8 @@ def grouped(docs: DataFrame, carry: dict[str, Column] | None = None, fold: bool
     sizes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.count("*").alias("group_size"), F.min("doc_id").alias("least_id"), F.max(F.struct("doc_id", "row")).alias("last")
     )
-    return attach(rows, sizes.where("group_size > 1"), ["digest"], "group_size")
+    shared = attach(rows.where("digest IS NOT NULL"), sizes.where("group_size > 1"), ["digest"], "group_size")
+    return shared.unionByName(rows.where("digest IS NULL"), allowMissingColumns=True)  # which are not sent anywhere
 
 
 def one_of_each(docs: DataFrame, fold: bool = True) -> DataFrame:
