@@ -9,7 +9,7 @@ from splitboard.functions import documents as d
 from splitboard.functions import marks
 from splitboard.operators import catalog, ingest, links, manifests
 from splitboard.plans.base import query
-from splitboard.sources import load
+from splitboard.sources import empty, load
 from splitboard.sources.schemas import TABLES
 
 
@@ -30,7 +30,7 @@ SELECT sha256, byte_size, 'results-' || doc_id || '.pdf' AS original_filename, '
 """)
 def document_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by content hash: exact copies are one."""
-    stored = spark.createDataFrame([], TABLES["raw_document"])
+    stored = empty(spark, TABLES["raw_document"])
     return ingest.register_documents(ingest.hashed_documents(incoming(spark, sf_dir)), stored, "archive").select("sha256", "byte_size", "original_filename", "category", "storage_path", "is_valid_pdf")
 
 
@@ -41,7 +41,7 @@ FROM c GROUP BY 1
 def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sources each content has; one reference per source and content."""
     rows = incoming(spark, sf_dir).withColumn("filename", F.lit(None).cast("string"))
-    found = ingest.register_references(ingest.hashed_documents(rows), spark.createDataFrame([], TABLES["source_reference"]))
+    found = ingest.register_references(ingest.hashed_documents(rows), empty(spark, TABLES["source_reference"]))
     return found.groupBy("sha256").agg(F.count("*").alias("n_references"), F.min("source_identity").alias("first_identity"))
 
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +15,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, which the optimizer knows to be empty: joins and unions with it are planned away, and no Python runs for it."""
+    return spark.range(1).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset (local tests) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,10 +44,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and the bench on one machine."""
+def local_session(cpus: int | str = 8, memory: str = "8g", more: dict[str, str] | None = None) -> SparkSession:
+    """Session for tests and the bench on one machine, with more settings."""
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.config(map=more or {})
+        .master(f"local[{cpus}]")
         .appName("splitboard")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")

@@ -13,7 +13,8 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from splitboard.sources import local_session
 
-    session = local_session(4, "4g")
+    # Call sites of columns, which cost several calls each, are not kept.
+    session = local_session(4, "4g", {"spark.python.sql.dataFrameDebugging.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
