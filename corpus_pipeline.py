@@ -47,7 +47,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id, null ids last, ties by the text's hash; of repeated rows one.
-    Null and empty texts are copies of each other.
+    Null and empty texts are copies of each other. Candidates come from fingerprints in the Gray-order index and from keys of shingle sets; all are verified.
     """
     return simhash_dedup.one_of_each(docs.select(*COLUMNS))
 

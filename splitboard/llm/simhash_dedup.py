@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitboard.llm.components import Forest, components
+from splitboard.llm.text import sized
+from splitboard.operators.filters import might_be_in
 from splitboard.sources import load, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -252,6 +254,10 @@ NEAR, OF = 4, 5
 SKETCH, KEY_MINIMA = 20, 4
 #: Pairs of a small bucket are all verified one by one; larger buckets are cut into chunks.
 SMALL, CHUNK = 16, 2048
+#: Shingles that are hashed by all functions at a time.
+BLOCK = 8192
+#: Codes whose texts are found by a broadcast; more of them by a bit map and a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def shingle_set(text: str, width: int = NEAR_WORDS) -> np.ndarray:
@@ -261,15 +267,20 @@ def shingle_set(text: str, width: int = NEAR_WORDS) -> np.ndarray:
 
 
 def minima_keys(grams: np.ndarray, family: np.ndarray) -> list[int]:
-    """SKETCH keys of a set of shingle hashes, as signed numbers."""
+    """SKETCH keys of a set of shingle hashes, as signed numbers; BLOCK of them at a time, however long the text."""
     import xxhash
 
-    least = ((grams[None, :] ^ family[0][:, None]) * family[1][:, None]).min(axis=1).reshape(SKETCH, KEY_MINIMA)
+    least = np.full(SKETCH * KEY_MINIMA, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(grams), BLOCK):
+        mixed = grams[None, at : at + BLOCK] ^ family[0][:, None]
+        mixed *= family[1][:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    least = least.reshape(SKETCH, KEY_MINIMA)
     return np.array([xxhash.xxh64_intdigest(k.tobytes(), i) for i, k in enumerate(least)], dtype="<u8").view("<i8").tolist()
 
 
 def sketches(docs: DataFrame, width: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, text_id, fp, n, s0, s1, ...) for each row of docs (doc_id, text): a hash of its set of shingles, their number, and the set's keys."""
+    """(doc_id, text_id, fp, n, print, s0, s1, ...) for each row of docs (doc_id, text): a hash of its set of shingles, their number, its fingerprint, and the set's keys."""
     columns = [f"s{i}" for i in range(SKETCH)]
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,18 +289,40 @@ def sketches(docs: DataFrame, width: int = NEAR_WORDS) -> DataFrame:
         family = np.random.default_rng(SEED).integers(0, 2**64, (2, SKETCH * KEY_MINIMA), dtype=np.uint64)
         family[1] |= np.uint64(1)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                grams = shingle_set(text or "", width)
+            rows = np.zeros((len(batch), 3 + SKETCH), dtype="<i8")
+            for i, text in enumerate(batch["text"]):
+                words = words_of(text)
+                hashes = shingle_hashes(words, width) if words else np.zeros(0, "<u8")
+                grams = np.unique(hashes)
                 own = xxhash.xxh64_intdigest(grams.tobytes(), SEED)
-                rows.append([own - (own >> 63 << 64), len(grams), *(minima_keys(grams, family) if len(grams) else [0] * SKETCH)])
-            out = pd.DataFrame(np.array(rows, dtype="<i8").reshape(-1, 2 + SKETCH), columns=["fp", "n", *columns])
+                rows[i, :2] = own - (own >> 63 << 64), len(grams)
+                if words:
+                    rows[i, 2], rows[i, 3:] = majority(hashes), minima_keys(grams, family)
+            out = pd.DataFrame(rows, columns=["fp", "n", "print", *columns])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             out.insert(1, "text_id", batch["text_id"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text")).mapInPandas(made, "doc_id long, text_id long, fp long, n long, " + ", ".join(f"{c} long" for c in columns))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text")).mapInPandas(made, "doc_id long, text_id long, fp long, n long, print long, " + ", ".join(f"{c} long" for c in columns))
+
+
+def print_pairs(codes: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) of codes (code, n, print, ...), distinct, by their fingerprints: links at two or fewer bits from the Gray-order index
+    in the buckets of agreeing blocks, between the least codes of two fingerprints; and each code with the least one of its own."""
+    own = codes.where("n > 0").select("print", "code", "n")
+    least = stage(own.groupBy("print").agg(F.min(F.struct("code", "n")).alias("least")), "prints")
+    links = stage(links_within(least.select(F.col("print").alias("fp"))), "print-links")
+    of_a, of_b = (least.select(F.col("print").alias(c), F.col("least.code").alias(f"code_{c}"), F.col("least.n").alias(f"n_{c}")) for c in ("a", "b"))
+    apart = links.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select(F.col("code_a").alias("a"), F.col("code_b").alias("b"), F.col("n_a").alias("n"), F.col("n_b").alias("m"))
+    equal = own.join(least.hint("merge"), "print").where(F.col("code") != F.col("least.code")).select(F.col("least.code").alias("a"), F.col("code").alias("b"), F.col("least.n").alias("n"), F.col("n").alias("m"))
+    return apart.union(equal)
+
+
+def close_in_size(pairs: DataFrame) -> DataFrame:
+    """The distinct (a, b) with a < b of pairs (a, b, n, m) whose numbers of shingles allow the similarity."""
+    close = pairs.where(F.least("n", "m") * OF >= F.greatest("n", "m") * NEAR)
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def key_buckets(codes: DataFrame) -> DataFrame:
@@ -305,8 +338,7 @@ def pairs_of(buckets: DataFrame, small: int) -> DataFrame:
     other = few.select("key", F.col("code").alias("b"), F.col("n").alias("m"))
     every = few.withColumnRenamed("code", "a").join(other.hint("merge"), "key").where("a < b").select("a", "b", "n", "m")
     star = many.where(F.col("code") != F.col("least.code")).select(F.col("least.code").alias("a"), F.col("code").alias("b"), F.col("least.n").alias("n"), F.col("n").alias("m"))
-    close = F.least("n", "m") * OF >= F.greatest("n", "m") * NEAR  # other sizes cannot be so similar
-    return every.union(star).where(close).select("a", "b").distinct()
+    return close_in_size(every.union(star))
 
 
 def near_links(codes: DataFrame, bucket: int = SMALL) -> DataFrame:
@@ -323,9 +355,11 @@ def near_sets(docs: DataFrame, codes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"code": batch["code"], "grams": [shingle_set(t).view("<i8") for t in batch["text"]]})
 
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
-    own = codes.select("code", F.col("doc_id").alias("own_doc"), F.col("text_id").alias("own_text"))
+    own = stage(codes.select("code", F.col("doc_id").alias("own_doc"), F.col("text_id").alias("own_text")), "own-texts")
+    if own.count() > BROADCAST_ROWS:  # texts that nobody asks for are not sent
+        texts = might_be_in(texts, own.withColumnRenamed("own_text", "text_id"), ["text_id"])
     same = texts["doc_id"].eqNullSafe(own["own_doc"]) & (texts["text_id"] == own["own_text"])
-    one = texts.join(own.hint("shuffle_hash"), same).groupBy("code").agg(F.first("text").alias("text"))
+    one = texts.join(sized(own, BROADCAST_ROWS), same).groupBy("code").agg(F.first("text").alias("text"))
     return one.mapInPandas(made, "code long, grams array<long>")
 
 
@@ -391,11 +425,15 @@ def links_of_large(buckets: DataFrame, sets: DataFrame, links: DataFrame, small:
 
 
 def near_components(docs: DataFrame, codes: DataFrame, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
-    """(code, root) of the codes (code, doc_id, text_id, n, s0, s1, ...) that are near copies of others."""
+    """(code, root) of the codes (code, doc_id, text_id, n, print, s0, s1, ...) that are near copies of others: candidates by fingerprints
+    and by shared keys, since fingerprints of similar texts often differ at more than two bits; all of them are verified."""
+    printed = stage(close_in_size(print_pairs(codes)), "print-pairs")
     buckets = key_buckets(codes)
-    involved = codes.select("code", "doc_id", "text_id").join(buckets.select("code").distinct(), "code", "left_semi")
+    met = buckets.select("code").union(printed.select("a")).union(printed.select("b")).distinct()
+    involved = codes.select("code", "doc_id", "text_id").join(met.hint("shuffle_hash"), "code", "left_semi")
     sets = stage(near_sets(docs, involved), "shingle-sets")
-    links = stage(verified(pairs_of(buckets, small), sets), "near-links")
+    pairs = pairs_of(buckets, small).union(printed).distinct()
+    links = stage(verified(pairs, sets), "near-links")
     more = links_of_large(buckets, sets, links, small, chunk)
     return components(links if more is None else links.union(stage(more, "near-links"))).withColumnRenamed("node", "code")
 

@@ -117,3 +117,24 @@ def test_large_groups_of_near_copies_are_verified(spark):
         code = {r.doc_id: r.code for r in made.collect()}
         got = [roots.get(code[i], code[i]) for i in range(90)]
         assert len(set(got)) == len(set(root)) == len(set(zip(got, root, strict=True)))
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    """Without shared keys the links come from fingerprints at two or fewer bits, and each is verified."""
+    words = [f"w{i * 7919 % 1009}x{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[:1400])), (4, "a b c d e f"), (5, "A  b c d e f"), (6, None), (7, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = simhash_dedup.sketches(docs).collect()
+    prints = {r.doc_id: r.print for r in made}
+    assert prints[1] == simhash_dedup.fingerprint(rows[0][1], simhash_dedup.NEAR_WORDS) and bin((prints[1] ^ prints[2]) % 2**64).count("1") <= 2
+    monkeypatch.setattr(simhash_dedup, "pairs_of", lambda buckets, small: buckets.where("false").selectExpr("code AS a", "code AS b"))
+    assert sorted(r.doc_id for r in simhash_dedup.one_of_each(docs).collect()) == [1, 3, 4, 6, 7]
+
+
+def test_keys_of_long_texts(monkeypatch):
+    """Keys are the same however many shingles are hashed at a time."""
+    family = np.random.default_rng(1).integers(0, 2**64, (2, simhash_dedup.SKETCH * simhash_dedup.KEY_MINIMA), dtype=np.uint64)
+    grams = np.unique(np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64))
+    whole = simhash_dedup.minima_keys(grams, family)
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 7)
+    assert simhash_dedup.minima_keys(grams, family) == whole
