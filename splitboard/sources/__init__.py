@@ -1,5 +1,5 @@
 """Readers, staged tables and sinks."""
 
-from splitboard.sources.tables import empty, load, local_session, stage
+from splitboard.sources.tables import dealt, empty, load, local_session, stage
 
-__all__ = ["empty", "load", "local_session", "stage"]
+__all__ = ["dealt", "empty", "load", "local_session", "stage"]

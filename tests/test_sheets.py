@@ -139,3 +139,40 @@ Event 2  Girls 13-14 100 Fly
     assert meets.first().meet_name == "Spring Invitational 2024"
     rows = [(r.event_no, r.placement, r.name, r.mark, r.is_dq, r.dq_reason) for r in results.orderBy("pos").collect()]
     assert rows == [(1, 1, "ROWE, Alan", "1:04.10", False, None), (1, None, "HALE, Bo", None, True, "One hand touch - Butterfly"), (1, None, "WREN, Cy", None, True, "DNS"), (2, 1, "FINN, Di", "1:05.10", False, None)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sheet_is_shuffled_once(spark):
+    """Lines are dealt by document once and sorted four times; what is read off the written documents is neither shuffled nor joined."""
+    pages = spark.createDataFrame([("m", 1, PAGE)], "doc_id string, page_no int, text string")
+    read = sh.read_sheets(pages)
+    plan = plan_of(sh.gathered(read.lines))
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 4
+    for table in (read.meets, read.events, read.results, read.relays, read.legs, read.quality):
+        assert "Exchange" not in plan_of(table) and "Join" not in plan_of(table)
+    meets, results = sh.read_fixed_width(pages)
+    assert plan_of(results).count("Exchange ") == plan_of(results).count("Sort [") == 1 and "meet_name" in results.columns
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    from splitboard.sources import dealt, tables
+
+    rows = spark.range(1000)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(rows, rows, "id").rdd.getNumPartitions() == least
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 40)
+    assert dealt(rows, rows, "id").rdd.getNumPartitions() == 25
+
+
+def test_equal_line_numbers_keep_their_order(spark, tmp_path):
+    """Rows of one order and line stand in the order of part, supplier and price."""
+    from splitboard.plans.sheet_queries import rendered
+
+    rows = [(1, 1, p, s, float(x), None) for p, s, x in ((9, 1, 50), (2, 7, 60), (2, 3, 80), (2, 3, 70))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_comment string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    text = rendered(spark, str(tmp_path)).first().text
+    found = [tuple(x.split(" ")[i] for i in (1, 5, 9)) for x in text.split("\n") if "Swimmer" in x]
+    assert found == [("P2,", "S3", "1:40.00"), ("P2,", "S3", "1:50.00"), ("P2,", "S7", "1:30.00"), ("P9,", "S1", "1:20.00")]
