@@ -210,3 +210,21 @@ def test_entries_over_a_loaded_store(spark, loaded):
     assert e.dashboard(store).first().recent_total == 7
     assert e.get_result(store, points.sparkSession.createDataFrame([(0,)], "k long").first().k).count() == 0
     assert e.list_athletes(store, search="l", ages=(14, 14)).total == 1
+
+
+def test_a_batch_is_shuffled_and_written_once(spark, monkeypatch):
+    """New rows and duplicates come of one written table whose plan has one exchange, and nothing stored is joined where there is none."""
+    plans, real = [], g.stage
+    monkeypatch.setattr(g, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    rows = spark.createDataFrame([(5, "a", 2), (5, "a", 1), (6, "a", 3)], "meet_key long, content_hash string, pos int")
+    new, old = g.split_new(rows, rows.limit(0), ["pos"])
+    assert sorted(r.pos for r in new.collect()) == [1, 3] and [r.pos for r in old.collect()] == [2]
+    assert len(plans) == 1 and plans[0].count("Exchange ") == 1 and "Join" not in plans[0]
+
+
+def test_the_first_page_decides_the_format(spark):
+    pages = spark.createDataFrame([("a", 2, "HY-TEK"), ("a", 1, "other"), ("b", 1, "HY-TEK"), ("c", 1, None)], PAGES)
+    rules = spark.createDataFrame(g.RULES, "rule_pos int, format_name string, parser_version string, pattern string, confidence int")
+    found = g.first_formats(pages, rules)
+    assert {r.doc_id: r.format_name for r in found.collect()} == {"a": None, "b": "meet-manager-text", "c": None}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
