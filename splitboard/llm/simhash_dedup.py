@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,6 +257,8 @@ SKETCH, KEY_MINIMA = 20, 4
 SMALL, CHUNK = 16, 2048
 #: Shingles that are hashed by all functions at a time.
 BLOCK = 8192
+#: Texts of an Arrow batch that become Python strings, and rows that go back to Spark, at a time.
+PART = 64
 #: Codes whose texts are found by a broadcast; more of them by a bit map and a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -279,18 +282,25 @@ def minima_keys(grams: np.ndarray, family: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(k.tobytes(), i) for i, k in enumerate(least)], dtype="<u8").view("<i8").tolist()
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most PART at a time, so that a worker holds no batch twice, as Arrow and as Python strings or arrays."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def sketches(docs: DataFrame, width: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, text_id, fp, n, print, s0, s1, ...) for each row of docs (doc_id, text): a hash of its set of shingles, their number, its fingerprint, and the set's keys."""
-    columns = [f"s{i}" for i in range(SKETCH)]
+    columns = ["fp", "n", "print", *[f"s{i}" for i in range(SKETCH)]]
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         family = np.random.default_rng(SEED).integers(0, 2**64, (2, SKETCH * KEY_MINIMA), dtype=np.uint64)
         family[1] |= np.uint64(1)
-        for batch in batches:
-            rows = np.zeros((len(batch), 3 + SKETCH), dtype="<i8")
-            for i, text in enumerate(batch["text"]):
+        for part in parts(batches):
+            rows = np.zeros((part.num_rows, len(columns)), dtype="<i8")
+            for i, text in enumerate(part.column("text").to_pylist()):
                 words = words_of(text)
                 hashes = shingle_hashes(words, width) if words else np.zeros(0, "<u8")
                 grams = np.unique(hashes)
@@ -298,13 +308,12 @@ def sketches(docs: DataFrame, width: int = NEAR_WORDS) -> DataFrame:
                 rows[i, :2] = own - (own >> 63 << 64), len(grams)
                 if words:
                     rows[i, 2], rows[i, 3:] = majority(hashes), minima_keys(grams, family)
-            out = pd.DataFrame(rows, columns=["fp", "n", "print", *columns])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            out.insert(1, "text_id", batch["text_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            found = [pa.array(c) for c in np.ascontiguousarray(rows.T)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), *found], names=["doc_id", "text_id", *columns])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text")).mapInPandas(made, "doc_id long, text_id long, fp long, n long, print long, " + ", ".join(f"{c} long" for c in columns))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+    return read.mapInArrow(made, "doc_id long, text_id long, " + ", ".join(f"{c} long" for c in columns))
 
 
 def print_pairs(codes: DataFrame) -> DataFrame:
@@ -346,21 +355,26 @@ def near_links(codes: DataFrame, bucket: int = SMALL) -> DataFrame:
     return pairs_of(key_buckets(codes), bucket)
 
 
-def near_sets(docs: DataFrame, codes: DataFrame) -> DataFrame:
-    """(code, grams): the shingle sets of codes (code, doc_id, text_id), each from the text of its own document, so that a text that
-    many documents share meets in no task."""
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, grams) of batches of (code, text), at most PART rows at a time."""
+    for part in parts(batches):
+        grams = [shingle_set(t).view("<i8") for t in part.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, grams)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([part.column("code"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))], names=["code", "grams"])
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"code": batch["code"], "grams": [shingle_set(t).view("<i8") for t in batch["text"]]})
 
+def near_sets(docs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, grams): the shingle sets of codes (code, doc_id, text_id), distinct, each from the text of its own document, so that a text that
+    many documents share meets in no task. Sets are made where the texts are read; only repeated rows, which give a set each, are made one afterwards."""
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
     own = stage(codes.select("code", F.col("doc_id").alias("own_doc"), F.col("text_id").alias("own_text")), "own-texts")
-    if own.count() > BROADCAST_ROWS:  # texts that nobody asks for are not sent
+    asked = own.count()
+    if asked > BROADCAST_ROWS:  # texts that nobody asks for are not sent
         texts = might_be_in(texts, own.withColumnRenamed("own_text", "text_id"), ["text_id"])
     same = texts["doc_id"].eqNullSafe(own["own_doc"]) & (texts["text_id"] == own["own_text"])
-    one = texts.join(sized(own, BROADCAST_ROWS), same).groupBy("code").agg(F.first("text").alias("text"))
-    return one.mapInPandas(made, "code long, grams array<long>")
+    found = texts.join(sized(own, BROADCAST_ROWS), same).select("code", "text")
+    sets = stage(found.mapInArrow(sets_of, "code long, grams array<long>"), "shingle-sets")
+    return sets if sets.count() == asked else stage(sets.groupBy("code").agg(F.first("grams").alias("grams")), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -431,7 +445,7 @@ def near_components(docs: DataFrame, codes: DataFrame, small: int = SMALL, chunk
     buckets = key_buckets(codes)
     met = buckets.select("code").union(printed.select("a")).union(printed.select("b")).distinct()
     involved = codes.select("code", "doc_id", "text_id").join(met.hint("shuffle_hash"), "code", "left_semi")
-    sets = stage(near_sets(docs, involved), "shingle-sets")
+    sets = near_sets(docs, involved)
     pairs = pairs_of(buckets, small).union(printed).distinct()
     links = stage(verified(pairs, sets), "near-links")
     more = links_of_large(buckets, sets, links, small, chunk)

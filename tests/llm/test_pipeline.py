@@ -138,3 +138,36 @@ def test_keys_of_long_texts(monkeypatch):
     whole = simhash_dedup.minima_keys(grams, family)
     monkeypatch.setattr(simhash_dedup, "BLOCK", 7)
     assert simhash_dedup.minima_keys(grams, family) == whole
+
+
+def test_sets_are_made_where_texts_are_read(spark, monkeypatch):
+    """No text is shuffled or sorted for its set; repeated rows still give one set a code."""
+    plans, stage = [], simhash_dedup.stage
+
+    def seen(df, name):
+        if name == "shingle-sets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(simhash_dedup, "stage", seen)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(5 + i))) for i in range(40)]
+    for repeats in (1, 3):
+        docs = spark.createDataFrame(rows * repeats, "doc_id long, text string")
+        codes = simhash_dedup.sketches(docs).withColumn("code", simhash_dedup.F.col("fp")).dropDuplicates(["code"])
+        code = {r.doc_id: r.code for r in codes.collect()}
+        plans.clear()
+        got = simhash_dedup.near_sets(docs, codes.select("code", "doc_id", "text_id"))
+        if repeats == 1:
+            assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and not any(x in plans[0] for x in ("hashpartitioning", "Sort"))
+        assert sorted((r.code, r.grams) for r in got.collect()) == sorted((code[i], simhash_dedup.shingle_set(t).view("<i8").tolist()) for i, t in rows)
+
+
+def test_a_batch_goes_back_in_parts():
+    """However many texts Spark sends at once, few sets are held at a time, all of them come back."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(i % 9)) for i in range(1000)]
+    out = list(simhash_dedup.sets_of(iter([pa.RecordBatch.from_pydict({"code": list(range(1000)), "text": texts})])))
+    assert max(b.num_rows for b in out) <= simhash_dedup.PART
+    got = [(r["code"], r["grams"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, simhash_dedup.shingle_set(t).view("<i8").tolist()) for i, t in enumerate(texts)]
