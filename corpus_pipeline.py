@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from splitboard.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
 from splitboard.llm.text import fresh
-from splitboard.sources import load, stage
+from splitboard.sources import load, small_batches, stage
 
 LEAST_SCORE = 0.4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,7 +29,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = language_id.identify(docs.select(*COLUMNS))
     known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    with small_batches(spark):  # written here, since the batches' size counts when Spark plans the write
+        return stage(known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS), "known-languages")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from splitboard.llm.components import Forest, components
 from splitboard.llm.text import sized
 from splitboard.operators.filters import might_be_in
-from splitboard.sources import load, stage
+from splitboard.sources import load, small_batches, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -373,7 +373,8 @@ def near_sets(docs: DataFrame, codes: DataFrame) -> DataFrame:
         texts = might_be_in(texts, own.withColumnRenamed("own_text", "text_id"), ["text_id"])
     same = texts["doc_id"].eqNullSafe(own["own_doc"]) & (texts["text_id"] == own["own_text"])
     found = texts.join(sized(own, BROADCAST_ROWS), same).select("code", "text")
-    sets = stage(found.mapInArrow(sets_of, "code long, grams array<long>"), "shingle-sets")
+    with small_batches(docs.sparkSession):
+        sets = stage(found.mapInArrow(sets_of, "code long, grams array<long>"), "shingle-sets")
     return sets if sets.count() == asked else stage(sets.groupBy("code").agg(F.first("grams").alias("grams")), "shingle-sets")
 
 
@@ -456,7 +457,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) without near copies: of each group of documents that links of similar
     five-word shingles lead to, the row with the smallest doc_id stays (null ids last, ties by the text's hash).
     Every link is verified by the exact similarity of the two sets of shingles."""
-    made = stage(sketches(docs).withColumnRenamed("fp", "code"), "sketches")
+    with small_batches(docs.sparkSession):
+        made = stage(sketches(docs).withColumnRenamed("fp", "code"), "sketches")
     roots = near_components(docs, stage(made.dropDuplicates(["code"]), "codes"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     best = made.groupBy("code").agg(F.min(place).alias("best")).join(roots, "code", "left")

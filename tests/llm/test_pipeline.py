@@ -171,3 +171,18 @@ def test_a_batch_goes_back_in_parts():
     assert max(b.num_rows for b in out) <= simhash_dedup.PART
     got = [(r["code"], r["grams"]) for b in out for r in b.to_pylist()]
     assert got == [(i, simhash_dedup.shingle_set(t).view("<i8").tolist()) for i, t in enumerate(texts)]
+
+
+def test_python_gets_few_texts_at_a_time(spark, tmp_path):
+    """Batches are small inside, and the session's setting is back afterwards, also after an error."""
+    import pytest
+
+    from splitboard.sources import small_batches
+
+    name, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", lambda batches: (b.slice(0, 0).from_pydict({"n": [b.num_rows]}) for b in batches)
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), small_batches(spark):
+        spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long").write.parquet(f"{tmp_path}/sizes")
+        1 / 0  # noqa: B018
+    rows = [r.n for r in spark.read.parquet(f"{tmp_path}/sizes").collect()]
+    assert spark.conf.get(name) == before and sum(rows) == 5000 and max(rows) <= 1000
