@@ -176,3 +176,27 @@ def test_equal_line_numbers_keep_their_order(spark, tmp_path):
     text = rendered(spark, str(tmp_path)).first().text
     found = [tuple(x.split(" ")[i] for i in (1, 5, 9)) for x in text.split("\n") if "Swimmer" in x]
     assert found == [("P2,", "S3", "1:40.00"), ("P2,", "S3", "1:50.00"), ("P2,", "S7", "1:30.00"), ("P9,", "S1", "1:20.00")]
+
+
+def test_a_document_is_read_once_without_windows(spark):
+    """What is read off documents that are not written has no window, one shuffle, and one pass over the lines."""
+    read = sh.read_sheets(spark.createDataFrame([("m", 1, PAGE + "\n" + RELAYS)], "doc_id string, page_no int, text string"), once=True)
+    for table in (read.events, read.results, read.relays, read.legs, read.quality):
+        plan = plan_of(table)
+        assert "Window" not in plan and plan.count("Exchange ") == 1
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert read.results.count() == 7 and read.legs.count() == 4
+
+
+def test_both_readings_agree(spark):
+    """Sheets of mixed lines read the same in one pass and by windows over rows of lines."""
+    import random
+
+    r = random.Random(7)
+    lines = [*PAGE.split("\n"), *RELAYS.split("\n"), "(Event 13 Women 16-18 50 SC Meter Freestyle)", "(Event 99 Men Unknown)", "1 One, A 14 Club 1) Z, W 15 1.00 DQ", "SW 1.1 own 1) C, D 15", "2:05.00 x MTS (2.00) 1) A, B 14", "17", "  "]
+    rows = [(f"d{i}", p, "\n".join(r.choices(lines, k=r.choice([1, 20, 150])))) for i in range(60) for p in range(r.choice([1, 2]))]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
+    one, other = sh.read_sheets(pages), sh.read_sheets(pages, by_line=True)
+    for name in ("meets", "events", "results", "relays", "legs", "quality"):
+        a, b = (sorted(map(str, getattr(x, name).collect())) for x in (one, other))
+        assert a == b and a
