@@ -1,5 +1,5 @@
 """Readers, staged tables and sinks."""
 
-from splitboard.sources.tables import dealt, empty, load, local_session, small_batches, stage
+from splitboard.sources.tables import dealt, discard, empty, load, local_session, small_batches, stage
 
-__all__ = ["dealt", "empty", "load", "local_session", "small_batches", "stage"]
+__all__ = ["dealt", "discard", "empty", "load", "local_session", "small_batches", "stage"]

@@ -228,3 +228,20 @@ def test_the_first_page_decides_the_format(spark):
     found = g.first_formats(pages, rules)
     assert {r.doc_id: r.format_name for r in found.collect()} == {"a": None, "b": "meet-manager-text", "c": None}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_load_leaves_no_copies_of_its_batch(spark, store, monkeypatch, tmp_path):
+    """Sheets and facts that a load stages are gone after it; digests, which travel as bytes, are stored as the same text as before."""
+    import hashlib
+
+    from splitboard.sources import tables
+
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
+    docs, pages = batch(spark, "day1-results")
+    done = g.load_sheets(store, docs, pages)
+    staged = [p.name for p in (tmp_path / "staged").iterdir()]
+    assert staged and not [n for n in staged if n.startswith(("sheets-", "batch-")) and not n.startswith(("batch-documents-", "batch-meets-"))]
+    assert done.inserted == 10 and done.duplicate_rows.count() == 0
+    rows = store["result"].select("content_hash", "source_document_sha256").collect()
+    assert {r.source_document_sha256 for r in rows} == {hashlib.sha256(b"%PDF day1-results").hexdigest()}
+    assert all(len(r.content_hash) == 64 and r.content_hash == r.content_hash.lower() for r in rows)
